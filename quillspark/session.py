@@ -20,7 +20,7 @@ SETTINGS = {
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster the submitter makes the session."""
-    b = SparkSession.builder.master(master).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", shuffle_partitions)
+    b = SparkSession.builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", shuffle_partitions)
     for k, v in (SETTINGS | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
