@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import mixing, pieces, prose, site_lines, token_ids
+from pyspark.sql import functions as F
+
+from quillspark.llm import mixing, near_copies, pieces, prose, site_lines, token_ids
 from quillspark.tables import table
 
 
@@ -14,6 +16,19 @@ def p1_pieces(spark, d):
     return pieces.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunking_options"))
 
 
+def _records(spark, d):
+    chunks = table(spark, d, "chunks").select(F.lit("chunk").alias("rec"), F.col("chunk_id").alias("id"), "text")
+    return chunks.unionByName(table(spark, d, "contradiction_sides").select(F.lit("side").alias("rec"), F.col("side_id").alias("id"), F.col("excerpt").alias("text")))
+
+
+def p4_found(spark, d):
+    return near_copies.pairs_of_records(_records(spark, d), threshold=0.6, k=3, min_words=20)
+
+
+def p4_groups(spark, d):
+    return near_copies.groups(_records(spark, d), threshold=0.6, k=3, min_words=20)
+
+
 def p6_found(spark, d):
     return site_lines.repeated_lines(table(spark, d, "chunks"))
 
@@ -42,5 +57,5 @@ def p9_statistics(spark, d):
     return prose.quality_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
