@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,8 +27,21 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable for Python workers that were started elsewhere than beside it."""
+    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    beside = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    if getattr(sc, "_quillspark", False) or os.path.realpath(root) in beside:
+        return
+    folder = tempfile.mkdtemp(prefix="quillspark-")  # on the driver only, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "quillspark"), "zip", root, "quillspark"))
+    sc._quillspark = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Sets the runtime settings results depend on (the time zone); leaves sizing to the cluster."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
