@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, near_copies, pieces, prose, site_lines, token_ids, vector_graph
+from quillspark.llm import mail_parts, mixing, near_copies, pieces, prose, site_lines, token_ids, vector_graph
 from quillspark.tables import table
 
 
@@ -24,6 +24,14 @@ def p2_nearest(spark, d):
     return vector_graph.nearest(table(spark, d, "chunks"), k=5)
 
 
+def p3_found(spark, d):
+    return mail_parts.not_new_lines(table(spark, d, "emails"))
+
+
+def p3_new_text(spark, d):
+    return mail_parts.newly_written(table(spark, d, "emails"))
+
+
 def _records(spark, d):
     chunks = table(spark, d, "chunks").select(F.lit("chunk").alias("rec"), F.col("chunk_id").alias("id"), "text")
     return chunks.unionByName(table(spark, d, "contradiction_sides").select(F.lit("side").alias("rec"), F.col("side_id").alias("id"), F.col("excerpt").alias("text")))
@@ -65,5 +73,5 @@ def p9_statistics(spark, d):
     return prose.quality_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p4_found, p4_groups, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_new_text, p4_found, p4_groups, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
