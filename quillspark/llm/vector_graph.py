@@ -4,8 +4,9 @@ Equal vectors form a class and only one of them is indexed; a class keeps the id
 Class vectors are routed to shards by centroids (fitted on a bounded sample; every vector is assigned). In each shard
 a directed graph is built in rounds that double the number of points: a greedy beam search over the graph so far
 proposes neighbours, and robust pruning keeps an edge only if no kept neighbour is much nearer to its end (relaxed by
-ALPHA); reverse edges are added and pruned alike. Every class vector is then a query: its beam search runs over its
-PROBES nearest shards, what it finds is compared again by the exact cosine in double precision, and counts for
+ALPHA); reverse edges are added and pruned alike. What the searches propose are the neighbours within a shard (a pair is proposed
+when its later point is added). Every class vector is also a query to the other ones of its PROBES nearest shards, by beam search;
+what it finds is compared again by the exact cosine in double precision, and counts for
 both vectors of the pair.
 
 A shard over SHARD_MAX vectors (a dense region that holds a large part of all) is cut into sub-shards by a hash, each
@@ -30,8 +31,8 @@ from quillspark.session import materialize
 #: Edges of a node, width of a beam, nodes a beam expands at once, relaxation of pruning (on squared distances).
 DEGREE, BEAM, EXPAND, ALPHA = 20, 40, 4, 1.2
 #: Vectors a shard should hold, at most holds, the sample the centroids are fitted on, and the shards a query searches.
-SHARD, SHARD_MAX, SAMPLE, PROBES = 2000, 40_000, 20_000, 2
-_BATCH = 1024
+SHARD, SHARD_MAX, SAMPLE, PROBES = 2000, 40_000, 20_000, 3
+_BATCH = 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -91,26 +92,21 @@ def robust_prune(x: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, al
     """For points ``p`` the neighbours kept of ``cand`` (len(x) marks none): nearest first, dropping those that a kept one is alpha times nearer to."""
     n = len(x)
     m, c = cand.shape
-    padded = np.vstack([x, np.zeros((1, x.shape[1]), dtype=x.dtype)])
-    pts = padded[cand]
+    none = cand == n
+    pts = x[np.where(none, 0, cand)]
     far = 2 - 2 * np.einsum("mcd,md->mc", pts, x[p])
-    far[cand == n] = np.inf
-    order = np.argsort(far, axis=1)
-    cand, far = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1)
-    pts = padded[cand]
     between = 2 - 2 * np.matmul(pts, pts.transpose(0, 2, 1))
-    alive = np.isfinite(far)
-    alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]
+    left = np.where(none, np.float32(np.inf), far)  # of those still in question
     out = np.full((m, degree), n)
     rows = np.arange(m)
     for k in range(degree):
-        best = alive.argmax(axis=1)
-        any_ = alive[rows, best]
+        best = left.argmin(axis=1)
+        any_ = np.isfinite(left[rows, best])
         if not any_.any():
             break
         out[any_, k] = cand[rows, best][any_]
-        alive &= ~((alpha * between[rows, best] <= far) & any_[:, None])
-        alive[rows, best] = False
+        left[alpha * between[rows, best] <= far] = np.inf  # a repeated candidate is at distance zero of itself
+        left[rows, best] = np.inf
     return out
 
 
@@ -126,8 +122,11 @@ def _reverse(graph: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return to, table
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(edges as an (n + 1, degree) table padded with n, entry points)."""
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(edges as an (n + 1, degree) table padded with n, entry points, and the proposals as two arrays of points).
+
+    A point's search proposes its nearest among the points that came before; those of its own round it is compared with.
+    """
     n = len(x)
     order = np.random.default_rng(seed).permutation(n)
     graph = np.full((n + 1, degree), n)
@@ -135,10 +134,18 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     at = min(len(entry), n)
     seeds = np.sort(entry)
     graph[seeds] = robust_prune(x, seeds, np.tile(seeds, (len(seeds), 1)) * (1 - np.eye(len(seeds), dtype=int)) + n * np.eye(len(seeds), dtype=int), degree, alpha)
+    one, other = [np.repeat(seeds, len(seeds))], [np.tile(seeds, len(seeds))]
     while at < n:
         p = np.sort(order[at : at + min(at, _BATCH)])  # a round adds as many points as the graph has, up to a batch
         at += len(p)
         found, _ = beam_search(x, graph, entry, x[p], beam)
+        own = x[p] @ x[p].T
+        np.fill_diagonal(own, -3.0)
+        near = min(beam // 2, len(p))
+        mates = p[np.argpartition(-own, near - 1, axis=1)[:, :near]]
+        r, c = np.nonzero(found >= 0)
+        one += [p[r], np.repeat(p, near)]
+        other += [found[r, c], mates.ravel()]
         graph[p] = robust_prune(x, p, np.where(found < 0, n, found), degree, alpha)
         to, sources = _reverse(graph, p, n)
         for i in range(0, len(to), _BATCH):
@@ -149,7 +156,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
                     graph[t] = robust_prune(x, t, np.concatenate([graph[t], near[:, j : j + 2 * degree]], axis=1), degree, alpha)
             else:
                 graph[t] = robust_prune(x, t, near, degree, alpha)
-    return graph, entry
+    return graph, entry, np.concatenate(one), np.concatenate(other)
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,22 +167,29 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_q
         return none
     unit = _unit(vectors)
     x = unit[base]
-    graph, entry = build_graph(x)
-    own = np.full(len(ids), len(x))
-    own[base] = np.arange(len(base))
+    graph, entry, one, other = build_graph(x)
     exact = vectors.astype(np.float64)
     norms = np.sqrt(np.einsum("ij,ij->i", exact, exact))
     out = [none]
-    queries = np.flatnonzero(is_query)
-    for i in range(0, len(queries), _BATCH):
-        q = queries[i : i + _BATCH]
-        found, sims = beam_search(x, graph, entry, unit[q], BEAM)
-        ok = (found >= 0) & (found != own[q][:, None]) & (sims >= least - 1e-4)
-        r, c = np.nonzero(ok)
-        a, b = q[r], base[found[r, c]]
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
         cos = np.einsum("ij,ij->i", exact[a], exact[b]) / (norms[a] * norms[b])
         keep = cos >= least
         out.append((ids[a[keep]], ids[b[keep]], cos[keep]))
+
+    # a point of the graph has its proposals, and those that name it
+    close = (one != other) & (np.einsum("ij,ij->i", x[one], x[other]) >= least - 1e-4)
+    pairs = np.unique(np.stack([np.minimum(one, other)[close], np.maximum(one, other)[close]], axis=1), axis=0)
+    for i in range(0, len(pairs), 1 << 18):
+        a, b = base[pairs[i : i + (1 << 18)].T]
+        compare(a, b)
+        compare(b, a)
+    queries = np.flatnonzero(is_query & ~is_base)
+    for i in range(0, len(queries), _BATCH):
+        q = queries[i : i + _BATCH]
+        found, sims = beam_search(x, graph, entry, unit[q], BEAM)
+        r, c = np.nonzero((found >= 0) & (sims >= least - 1e-4))
+        compare(q[r], base[found[r, c]])
     a, b, cos = (np.concatenate(z) for z in zip(*out))
     order = np.lexsort((b, -cos, a))
     a, b, cos = a[order], b[order], cos[order]
@@ -222,7 +236,9 @@ def nearest(df: DataFrame, k: int = 5, least: float = -1.0, id_col: str = "chunk
 
     n = reps.count()
     shards = max(1, min(-(-n // SHARD), SAMPLE // 16))
-    sample = np.array([r.v for r in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], dtype=np.float32)
+    # about SAMPLE vectors by a hash of the id; the limit only bounds the chance excess
+    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / max(1, n))))
+    sample = np.array([r.v for r in reps.filter(part).limit(2 * SAMPLE).collect()], dtype=np.float32)
     centroids = fit_centroids(sample, min(shards, max(1, len(sample)))) if len(sample) else np.ones((1, 1), np.float32)
     probes = min(PROBES, len(centroids))
 
