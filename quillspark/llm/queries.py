@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import mail_parts, mixing, near_copies, pieces, prose, site_lines, token_ids, vector_graph
+from quillspark.llm import mail_parts, mixing, near_copies, pieces, prose, scan_text, site_lines, token_ids, vector_graph
 from quillspark.tables import table
 
 
@@ -45,6 +45,18 @@ def p4_groups(spark, d):
     return near_copies.groups(_records(spark, d), threshold=0.6, k=3, min_words=20)
 
 
+def p5_found(spark, d):
+    return scan_text.defects(table(spark, d, "pdf_lines"))
+
+
+def p5_paragraphs(spark, d):
+    return scan_text.paragraphs(table(spark, d, "pdf_lines"))
+
+
+def p5_markdown(spark, d):
+    return scan_text.repaired_markdown(table(spark, d, "conversions"), table(spark, d, "pdf_lines"))
+
+
 def p6_found(spark, d):
     return site_lines.repeated_lines(table(spark, d, "chunks"))
 
@@ -73,5 +85,5 @@ def p9_statistics(spark, d):
     return prose.quality_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_new_text, p4_found, p4_groups, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_new_text, p4_found, p4_groups, p5_found, p5_paragraphs, p5_markdown, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
