@@ -40,52 +40,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities), best first, of each query's beam; -1 where it found less. Vectors are of length one."""
     n, m = len(x), len(q)
-    width = graph.shape[1]
-    seen = np.zeros((m, n + 1), dtype=bool)  # the last column stands for "no node"
-    seen[:, n] = True
-    if skip is not None:
-        seen[np.arange(m), skip] = True
+    span = EXPAND * graph.shape[1]
+    seen = np.zeros(m * (n + 1), dtype=bool)  # one row a query; the last place of each stands for "no node"
+    row0 = np.arange(m) * (n + 1)
+    seen[row0 + n] = True
+    e = entry[:beam]
+    out_i, out_s = np.full((m, beam), -1), np.full((m, beam), -2.0, dtype=np.float32)
     ids = np.full((m, beam), n)
     sims = np.full((m, beam), -2.0, dtype=np.float32)
     done = np.ones((m, beam), dtype=bool)
-    e = entry[:beam]
     first = (q @ x[e].T).astype(np.float32)
-    if skip is not None:
-        first[e[None, :] == skip[:, None]] = -2.0
     order = np.argsort(-first, axis=1)
     ids[:, : len(e)] = e[order]
     sims[:, : len(e)] = np.take_along_axis(first, order, 1)
-    done[:, : len(e)] = sims[:, : len(e)] == -2.0
-    seen[:, e] = True
+    done[:, : len(e)] = False
+    seen[(row0[:, None] + e).ravel()] = True
     live = np.arange(m)
     while len(live):
-        d = done[live]
-        pick = np.argsort(d, axis=1, kind="stable")[:, :EXPAND]  # the best ones not yet expanded
-        rows = np.arange(len(live))[:, None]
-        fresh = ~d[rows, pick]
-        nodes = np.where(fresh, ids[live][rows, pick], n)
-        done[live[:, None], pick] = True
-        cand = graph[nodes].reshape(len(live), EXPAND * width)
-        new = ~seen[live[:, None], cand]
-        cand = np.where(new, cand, n)
+        k = len(live)
+        at0 = (np.arange(k) * beam)[:, None]
+        pick = np.argsort(done, axis=1, kind="stable")[:, :EXPAND] + at0  # the best ones not yet expanded
+        nodes = np.where(done.ravel()[pick], n, ids.ravel()[pick])
+        done.ravel()[pick] = True
+        cand = graph[nodes.ravel()].reshape(k, span)
         cand.sort(axis=1)
-        cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = n
-        seen[live[:, None], cand] = True
-        at = np.flatnonzero(cand.ravel() != n)
-        s = np.full(cand.size, -2.0, dtype=np.float32)
-        s[at] = np.einsum("ij,ij->i", x[cand.ravel()[at]], q[live[at // cand.shape[1]]])
-        s = s.reshape(cand.shape)
-        all_s = np.concatenate([sims[live], s], axis=1)
-        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-        top = top[rows, np.argsort(-all_s[rows, top], axis=1, kind="stable")]
-        all_i = np.concatenate([ids[live], cand], axis=1)
-        all_d = np.concatenate([done[live], cand == n], axis=1)
-        ids[live], sims[live], done[live] = all_i[rows, top], all_s[rows, top], all_d[rows, top]
-        live = live[~done[live].all(axis=1)]
-    return np.where(sims > -2.0, ids, -1), sims
+        flat = (row0[live][:, None] + cand).ravel()
+        fresh = ~seen.take(flat)
+        fresh.reshape(k, span)[:, 1:] &= cand[:, 1:] != cand[:, :-1]
+        at = np.flatnonzero(fresh)
+        seen[flat[at]] = True
+        new = cand.ravel()[at]
+        s = np.full(k * span, -2.0, dtype=np.float32)
+        s[at] = np.einsum("ij,ij->i", x[new], q[live[at // span]])
+        all_s = np.concatenate([sims, s.reshape(k, span)], axis=1)
+        wide = beam + span
+        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam] + (np.arange(k) * wide)[:, None]
+        picked = all_s.ravel()[top]
+        order = np.argsort(-picked, axis=1, kind="stable") + at0
+        top = top.ravel()[order]
+        sims = picked.ravel()[order]
+        ids = np.concatenate([ids, cand], axis=1).ravel()[top]
+        done = np.concatenate([done, ~fresh.reshape(k, span)], axis=1).ravel()[top]
+        ended = done.all(axis=1)
+        if ended.any():
+            out_i[live[ended]], out_s[live[ended]] = ids[ended], sims[ended]
+            stay = ~ended
+            live, ids, sims, done = live[stay], ids[stay], sims[stay], done[stay]
+    return np.where(out_s > -2.0, out_i, -1), out_s
 
 
 def robust_prune(x: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
