@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,8 +215,6 @@ def hashed_embedding(text: str, width: int = 64) -> list[float]:
 
 def embed(df: DataFrame, text_col: str, out: str = "content_vector", embedder: Callable[[str], list[float]] = hashed_embedding) -> DataFrame:
     """Adds a vector per row, in Arrow batches; a real model goes in as ``embedder``, loaded once per worker."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else embedder(t))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("catalog_queries", "text_queries", "retrieval_queries", "contradiction_queries", "gateway_queries", "change_queries")
 
 
 def load_queries() -> dict:
