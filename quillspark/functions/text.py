@@ -91,7 +91,7 @@ def inline(t: ColumnOrName) -> Column:
 
 def escape_headings(t: ColumnOrName) -> Column:
     """A backslash before what would read as a heading."""
-    return F.regexp_replace(_c(t), r"(?m)^(#{1,6}\s)", r"\\\\$1")
+    return F.regexp_replace(_c(t), r"(?m)^(#{1,6}\s)", r"\\$1")
 
 
 def escape_cell(t: ColumnOrName, backslash: bool = False) -> Column:

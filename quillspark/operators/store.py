@@ -11,16 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNKS = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A schema from ``name type`` pairs, without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
+
+
+CHUNKS = _schema(
     "project string, source_path string, ordinal int, title string, heading_path string, content string, text string, content_hash string, "
     "line_hashes array<string>, source_modified_at timestamp, indexed_at timestamp, content_vector array<float>"
 )
-NOTES = T.StructType.fromDDL("note_id string, project string, text string, target_path string, author string, created_at timestamp, content_vector array<float>")
-PAIRS = T.StructType.fromDDL(
+NOTES = _schema("note_id string, project string, text string, target_path string, author string, created_at timestamp, content_vector array<float>")
+PAIRS = _schema(
     "pair_id string, project string, similarity double, detected_at timestamp, kind string, status string, resolved_note_id string, status_changed_at timestamp, "
     "a_path string, a_ordinal int, a_heading string, a_modified_at timestamp, a_excerpt string, b_path string, b_ordinal int, b_heading string, b_modified_at timestamp, b_excerpt string"
 )
-MANIFEST = T.StructType.fromDDL("project string, folder string, source_path string, mtime timestamp, length long")
+MANIFEST = _schema("project string, folder string, source_path string, mtime timestamp, length long")
 #: Values of fields that older rows lack.
 DEFAULTS = {"status": "open", "kind": "contradiction"}
 

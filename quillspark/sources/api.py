@@ -82,7 +82,9 @@ def paged(transport: Transport, path: str, items: str, cursor: Callable[[dict],
     return out[:most]
 
 
-_markdown = F.udf(lambda h: html_to_markdown(h)[0] if h else "", "string", useArrow=True)
+def _markdown(html: Column | str) -> Column:
+    return F.udf(lambda h: html_to_markdown(h)[0] if h else "", "string", useArrow=True)(html)
+
 
 _PERSON, _NAMED, _KEYED = "struct<displayName:string>", "struct<name:string>", "struct<key:string>"
 TICKET = (

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from quillspark.sources import ddl, mailthread
 
 #: Extensions that a folder scan takes.
-EXTENSIONS = ("md", "markdown", "doc", "docx", "pdf", "xlsx", "csv", "html", "htm", "mht", "mhtml", "png", "jpg", "jpeg", "drawio", "xml", "sql", "eml", "mbox", "rtfmdb")
+EXTENSIONS = ("md", "markdown", "doc", "docx", "pdf", "xlsx", "csv", "html", "htm", "mht", "mhtml", "png", "jpg", "jpeg", "drawio", "xml", "sql", "eml", "mbox", "dbsource")
 _FROM, _TO, _MORE = (re.compile(p, re.I | re.M) for p in (rb"^From:[ \t]*\S", rb"^(?:To|Cc):[ \t]*\S", rb"^(?:Subject|Date|Message-ID):[ \t]*\S"))
-_BY_EXTENSION = {"md": "Markdown", "markdown": "Markdown", "csv": "Csv", "html": "Html", "htm": "Html", "drawio": "Drawio", "sql": "Sql", "rtfmdb": "Database"}
+_BY_EXTENSION = {"md": "Markdown", "markdown": "Markdown", "csv": "Csv", "html": "Html", "htm": "Html", "drawio": "Drawio", "sql": "Sql", "dbsource": "Database"}
 Converted = tuple[str, str | None, datetime | None]
 
 

@@ -125,7 +125,7 @@ def save_document(root: str, title: str, markdown: str, project: str, author: st
     return str(path), had
 
 
-def descriptors(folders: list[tuple[str, str]], pattern: str = "*.rtfmdb") -> list[tuple[str, str, Descriptor]]:
+def descriptors(folders: list[tuple[str, str]], pattern: str = "*.dbsource") -> list[tuple[str, str, Descriptor]]:
     """(project, path, descriptor) of the data-source descriptors below folders of (project, folder); the first of a path wins, by project and name."""
     found: dict[str, tuple[str, str, Descriptor]] = {}
     for project, folder in folders:
