@@ -51,17 +51,20 @@ def split_text(text: Column, max_chars: Column, overlap_chars: Column) -> Column
     back = F.least(F.greatest(overlap_chars, F.lit(0)), limit - 1)
     # one new part may take the limit less the overlap, so that no piece can exceed the limit
     parts = F.when(F.length(t) <= limit, F.array(t)).otherwise(F.regexp_extract_all(t, _pattern(limit - back), F.lit(0)))
-    starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
 
-    def piece(p: Column, i: Column) -> Column:
-        start = F.get(starts, i)
-        tail = F.substr(t, F.greatest(start - back, F.lit(0)) + 1, F.least(back, start))
+    def add(acc: Column, p: Column) -> Column:
+        prev = acc["prev"]
+        tail = F.substr(prev, F.greatest(F.length(prev) - back, F.lit(0)) + 1, F.greatest(back, F.lit(1)))
         # look back to the first pause within the overlap; without one the overlap starts at a character
-        paused = F.when(start <= back, tail).otherwise(F.regexp_replace(tail, r"^\S+\s+(?=\S)", ""))
-        kept = F.when((i == 0) | (back == 0), F.lit("")).otherwise(paused)
-        return F.struct(F.concat(kept, p).alias("text"), start.alias("start"), F.length(kept).alias("overlap"))
-
-    return F.when(t.isNotNull(), F.transform(parts, piece))
+        paused = F.when(F.length(prev) <= back, tail).otherwise(F.regexp_replace(tail, r"^\S+\s+(?=\S)", ""))
+        kept = F.when((prev == "") | (back == 0), F.lit("")).otherwise(paused)
+        piece = F.struct(F.concat(kept, p).alias("text"), acc["start"].alias("start"), F.length(kept).alias("overlap"))
+        return F.struct(F.concat(acc["out"], F.array(piece)).alias("out"), p.alias("prev"), (acc["start"] + F.length(p)).alias("start"))
+
+    # one pass over the new parts, each seen once with the one before: a text is searched once, however many pieces it has
+    none = F.array().cast("array<struct<text:string,start:int,overlap:int>>")
+    start = F.struct(none.alias("out"), F.lit("").alias("prev"), F.lit(0).alias("start"))
+    return F.when(t.isNotNull(), F.aggregate(parts, start, add, lambda acc: acc["out"]))
 
 
 def with_limits(chunks: DataFrame, options: DataFrame, default_max: int = 1600, default_overlap: int = 200) -> DataFrame:
