@@ -19,17 +19,16 @@ _CONTACT = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+|https?://|www\.|\+?\d[\d ()./-]{
 def parse_time(s: str | None) -> datetime | None:
     """A mail's or a header block's date, with `` at `` between day and time allowed; null where it can't be read."""
     s = re.sub(r"\s+at\s+", " ", (s or "").strip())
-    try:
-        t = email.utils.parsedate_to_datetime(s)
-        return (t if t.tzinfo else t.replace(tzinfo=timezone.utc)).astimezone(timezone.utc)
-    except (ValueError, TypeError):
-        pass
     for f in ("%A, %B %d, %Y %I:%M %p", "%A, %B %d, %Y %I:%M:%S %p", "%B %d, %Y %I:%M %p", "%d %B %Y %H:%M", "%a, %b %d, %Y %I:%M %p", "%Y-%m-%d %H:%M", "%m/%d/%Y %I:%M %p"):
         try:
             return datetime.strptime(s, f).replace(tzinfo=timezone.utc)
         except ValueError:
             pass
-    return None
+    try:
+        t = email.utils.parsedate_to_datetime(s)
+        return (t if t.tzinfo else t.replace(tzinfo=timezone.utc)).astimezone(timezone.utc)
+    except (ValueError, TypeError):
+        return None
 
 
 def _boundary(lines: list[str], i: int) -> tuple[int, str | None, datetime | None] | None:
@@ -54,6 +53,8 @@ def _boundary(lines: list[str], i: int) -> tuple[int, str | None, datetime | Non
 
 
 def _name(s: str) -> str | None:
+    if "@" not in s:
+        return s.strip().strip('"') or None
     n, a = email.utils.parseaddr(s)
     return (n or a or s).strip().strip('"') or None
 
