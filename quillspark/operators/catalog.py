@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.session import materialize
 
 
 def scoped(df: DataFrame, project: str | None) -> DataFrame:
@@ -102,7 +103,8 @@ def shortest_labels(paths: DataFrame) -> DataFrame:
         shared = d.groupBy(F.lower("label").alias("_l")).agg(F.count("*").alias("_n")).filter("_n > 1")
         marked = d.join(shared, F.lower("label") == F.col("_l"), "left")
         more = F.col("_n").isNotNull() & (F.col("depth") < F.size(segments))
-        d = marked.select("path", "label", F.when(more, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), more.alias("_more")).checkpoint(eager=True)
+        d = marked.select("path", "label", F.when(more, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), more.alias("_more"))
+        d = materialize(d, "labels")
         if d.filter("_more").isEmpty():
             return d.select("path", "label")
         d = d.select("path", "depth")

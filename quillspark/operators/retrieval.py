@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.functions import vectors as vx
 from quillspark.functions.analyzer import query_terms, tokens
+from quillspark.session import materialize
 
 K1, B = 1.2, 0.75
 #: Fields of a search with their boosts; a row's score is that of its best field.
@@ -26,36 +27,57 @@ FIELDS = {"content": 1.0, "heading_path": 2.0, "title": 2.0}
 WINDOW, STRIDE = 1000, 800
 
 
-def term_counts(df: DataFrame, id_col: str, field: str, terms: list[str] | None = None) -> DataFrame:
-    """(id, term, tf, dl): a posting per distinct term of a row; with ``terms`` only theirs. Rows without tokens have none."""
-    toks = tokens(F.col(field))
-    d = df.select(F.col(id_col).alias("id"), toks.alias("_t")).withColumn("dl", F.size("_t"))
-    kept = F.col("_t") if terms is None else F.filter("_t", lambda t: t.isin(terms))
-    return d.select("id", "dl", F.explode(kept).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+def term_counts(df: DataFrame, id_col: str, field: str) -> DataFrame:
+    """(id, term, tf, dl): a posting per distinct term of a row. Rows without tokens have none."""
+    d = df.select(F.col(id_col).alias("id"), tokens(F.col(field)).alias("_t"))
+    return d.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
 def document_frequency(df: DataFrame, id_col: str, field: str) -> DataFrame:
     return term_counts(df, id_col, field).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(df: DataFrame, id_col: str, field: str, query: str) -> DataFrame:
-    """(id, score) of the rows that hold a term of the query. The field's statistics are over all rows that have tokens in it."""
+def postings(df: DataFrame, id_col: str, fields: list[str], query: str) -> DataFrame:
+    """(field, id, term, tf, dl_sum, whole): the query's postings in each field, and per field one ``whole`` row with its number of rows and tokens.
+
+    The one pass over the texts of a search: every field is tokenised once, the entries without an id fold into one row per field
+    before the shuffle, and what remains, a few postings per row, is written once and read by the steps that need it.
+    """
     terms = query_terms(query)
-    sizes = df.select(F.size(tokens(F.col(field))).alias("n")).filter("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl"))
-    tf = term_counts(df, id_col, field, terms)
-    per_term = tf.groupBy("term").agg(F.count("*").alias("df"))  # at most one row per query term
+    d = df.select(F.col(id_col).alias("id"), *(tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)))
+    none = F.lit(None).cast(d.schema["id"].dataType)
+
+    def entries(i: int, f: str) -> Column:
+        t = f"_t{i}"
+        one = lambda key, term: F.struct(F.lit(f).alias("field"), key.alias("id"), term.alias("term"), F.size(t).alias("dl"))
+        found = F.transform(F.filter(t, lambda x: x.isin(terms)), lambda x: one(F.col("id"), x))
+        return F.when(F.size(t) > 0, F.concat(found, F.array(one(none, F.lit(""))))).otherwise(F.slice(found, 1, 0))
+
+    every = F.concat(*(entries(i, f) for i, f in enumerate(fields)))
+    counted = d.select(F.explode(every).alias("e")).groupBy("e.field", "e.id", "e.term").agg(F.count("*").alias("tf"), F.sum("e.dl").alias("dl_sum"))
+    return materialize(counted.withColumn("whole", F.col("id").isNull() & (F.col("term") == "")), "postings")
+
+
+def score(p: DataFrame) -> DataFrame:
+    """(field, id, score) by BM25; the statistics of a field are over all rows that have tokens in it."""
+    tf = p.filter("NOT whole").select("field", "id", "term", "tf", (F.col("dl_sum") / F.col("tf")).alias("dl"))
+    sizes = p.filter("whole").select("field", F.col("tf").alias("docs"), (F.col("dl_sum") / F.col("tf")).alias("avgdl"))  # a row per field
+    per_term = tf.groupBy("field", "term").agg(F.count("*").alias("df"))  # at most a row per field and query term
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(F.broadcast(per_term), "term").crossJoin(F.broadcast(sizes)).groupBy("id").agg(F.sum(weight).alias("score"))  # sizes: one row
+    return tf.join(F.broadcast(per_term), ["field", "term"]).join(F.broadcast(sizes), "field").groupBy("field", "id").agg(F.sum(weight).alias("score"))
+
+
+def bm25(df: DataFrame, id_col: str, field: str, query: str) -> DataFrame:
+    """(id, score) of the rows that hold a term of the query in a field."""
+    return score(postings(df, id_col, [field], query)).select("id", "score")
 
 
 def lexical(df: DataFrame, id_col: str, query: str, fields: dict[str, float] | None = None) -> DataFrame:
     """(id, score): the best field's boosted score."""
-    per_field = [bm25(df, id_col, f, query).withColumn("score", F.col("score") * boost) for f, boost in (fields or FIELDS).items()]
-    union = per_field[0]
-    for p in per_field[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("id").agg(F.max("score").alias("score"))
+    boosts = fields or FIELDS
+    boost = F.create_map(*(F.lit(x) for f, b in boosts.items() for x in (f, float(b))))
+    return score(postings(df, id_col, list(boosts), query)).groupBy("id").agg(F.max(F.col("score") * F.try_element_at(boost, "field")).alias("score"))
 
 
 def top(scored: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
@@ -190,12 +212,15 @@ def centroids(chunks: DataFrame, key: str = "source_path", vector_col: str = "co
 
 def find_similar(chunks: DataFrame, path: str, k: int = 5, candidates: int = 50, project: str | None = None) -> DataFrame:
     """(source_path, chunk_id, score): documents nearest to a document's centroid, each by its best chunk."""
-    own = centroids(chunks.filter(F.col("source_path") == path)).select("centroid")  # one row
+    own = centroids(chunks.filter(F.col("source_path") == path)).select("centroid").collect()  # at most one row
+    if not own:
+        return chunks.sparkSession.createDataFrame([], "source_path string, chunk_id long, score double")
+    centroid = F.array(*[F.lit(float(x)) for x in own[0].centroid])
     others = chunks.filter(F.col("source_path") != path)
     others = others.filter(F.col("project") == project) if project else others
     v = F.col("content_vector")
-    usable = others.filter(vx.usable(v)).crossJoin(F.broadcast(own)).filter(F.size(v) == F.size("centroid"))
-    scored = usable.select("source_path", "chunk_id", vx.score_of_cosine(vx.dot(v, F.col("centroid")) / vx.norm(v)).alias("score"))
+    usable = others.filter(vx.usable(v) & (F.size(v) == len(own[0].centroid)))
+    scored = usable.select("source_path", "chunk_id", vx.score_of_cosine(vx.dot(v, centroid) / vx.norm(v)).alias("score"))
     near = scored.orderBy(F.desc("score"), "chunk_id").limit(candidates)
     w = Window.partitionBy("source_path").orderBy(F.desc("score"), "chunk_id")
     return near.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").orderBy(F.desc("score"), "source_path").limit(k)

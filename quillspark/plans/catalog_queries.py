@@ -98,16 +98,9 @@ def contradiction_summary(spark, d):
 
 @query("shortest_labels")
 def shortest_labels(spark, d):
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
     return catalog.shortest_labels(table(spark, d, "chunks").select(F.col("source_path").alias("path")))
 
 
-def _checkpoints(spark) -> str:
-    from quillspark.session import scratch_root
-
-    return f"{scratch_root(spark)}/checkpoints"
-
-
 @query("scan_statistics")
 def scan_statistics(spark, d):
     return layout.statistics(table(spark, d, "pdf_lines"))

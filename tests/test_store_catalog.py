@@ -61,8 +61,7 @@ def test_scope(spark):
     assert [catalog.scoped(c, s).count() for s in ("p", "*", "ALL", " ", None)] == [1, 2, 2, 2, 2]
 
 
-def test_labels(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_labels(spark):
     d = spark.createDataFrame([("/x/a/n.md",), ("/x/b/n.md",), ("/x/b/m.md",), ("jira://A-1",)], "path string")
     assert {r.path: r.label for r in catalog.shortest_labels(d).collect()} == {"/x/a/n.md": "a/n.md", "/x/b/n.md": "b/n.md", "/x/b/m.md": "m.md", "jira://A-1": "jira://A-1"}
 
