@@ -223,8 +223,8 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows whose vector has the usual length, finite values and a norm above zero."""
     v = F.col(vector_col).cast("array<float>")
-    length = df.select(F.mode(F.size(v)).alias("n")).filter("n > 0")  # one row
-    d = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("v IS NOT NULL").crossJoin(F.broadcast(length)).filter(F.size("v") == F.col("n")).drop("n")
+    sizes = df.select(F.size(v).alias("n")).filter("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()  # one row
+    d = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("v").isNotNull() & (F.size("v") == (sizes[0].n if sizes else 0)))
     norm = F.aggregate("v", F.lit(0.0), lambda a, y: a + F.coalesce(y.cast("double"), F.lit(float("nan"))) * y.cast("double"))
     return d.filter((norm > 0) & (norm < float("inf")) & ~F.isnan(norm))
 
