@@ -86,4 +86,26 @@ def p9_statistics(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_new_text, p4_found, p4_groups, p5_found, p5_paragraphs, p5_markdown, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
-SQL: dict[str, str] = {}
+
+#: Unicode white space for engines whose \s is ASCII.
+_WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_LINES = "string_split(replace(text,chr(13)||chr(10),chr(10)),chr(10))"
+_LOWER = "lower(replace({},'İ','i'||chr(775)))"
+
+SQL: dict[str, str] = {
+    # fences by the parity of fence lines so far; runs of non-blank lines by the blank lines so far
+    "p1_found": f"""WITH o AS (SELECT c.chunk_id, coalesce(m.max_chars,1600) AS most, {_LINES} AS ls FROM chunks c LEFT JOIN (SELECT project, max(max_chars) AS max_chars FROM chunking_options GROUP BY project) m USING (project) WHERE text IS NOT NULL),
+ l AS (SELECT chunk_id, most, i, ls[i] AS t FROM o, LATERAL (SELECT unnest(range(1,len(ls)+1)) AS i)),
+ f AS (SELECT *, CAST(regexp_matches(t,'^{_WS}*(```|~~~)') AS INT) AS f, CAST(regexp_matches(t,'^{_WS}*$') AS INT) AS b FROM l),
+ c AS (SELECT *, sum(f) OVER (PARTITION BY chunk_id ORDER BY i) AS c, sum(b) OVER (PARTITION BY chunk_id ORDER BY i) AS bl FROM f),
+ k AS (SELECT *, CASE WHEN c%2=1 OR f=1 THEN 'f'||((c+1)//2) WHEN b=0 THEN 'r'||c||'-'||bl END AS k FROM c),
+ g AS (SELECT chunk_id, any_value(most) AS most, min(i) AS i, CAST(sum(length(t))+count(*)-1 AS BIGINT) AS n FROM k WHERE k IS NOT NULL GROUP BY chunk_id, k.k)
+ SELECT chunk_id, CAST(no AS INTEGER) AS block_no FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY i)-1 AS no FROM g) WHERE n>most""",
+    "p4_found": rf"""WITH r AS (SELECT 'chunk' AS rec, chunk_id AS id, text FROM chunks UNION ALL SELECT 'side', side_id, excerpt FROM contradiction_sides),
+ w AS (SELECT rec, id, regexp_extract_all({_LOWER.format('text')},'[\p{{L}}\p{{N}}]+') AS w FROM r), s AS (SELECT DISTINCT rec, id, unnest(list_transform(range(1,len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2])) AS g FROM w WHERE len(w)>=20),
+ n AS (SELECT rec, id, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT a.rec, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.rec=b.rec AND a.g=b.g AND a.id<b.id GROUP BY ALL)
+ SELECT p.rec, id_a, id_b FROM p JOIN n x ON x.rec=p.rec AND x.id=id_a JOIN n y ON y.rec=p.rec AND y.id=id_b WHERE c>=0.6*(x.n+y.n-c)""",
+    "p6_found": rf"""WITH l AS (SELECT chunk_id, project, source_path, {_LINES} AS ls FROM chunks WHERE text IS NOT NULL), t AS (SELECT chunk_id, project, source_path, i-1 AS line_no, ls[i] AS t FROM l, LATERAL (SELECT unnest(range(1,len(ls)+1)) AS i)),
+ f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace({_LOWER.format('t')},'{_WS}+',' ','g'),'\p{{Nd}}+','0','g'),'^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$','','g') AS f FROM t),
+ k AS (SELECT project, f FROM f WHERE length(f)>=12 GROUP BY ALL HAVING count(DISTINCT source_path)>=5) SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM f JOIN k USING (project, f)""",
+}
