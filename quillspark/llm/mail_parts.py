@@ -48,10 +48,16 @@ _NAME = re.compile(r"^[\W_]*([^\W\d_][\w'’.-]*)[\W_]*$")
 _CLOSING = re.compile(r"\b(?:regards|thanks|cheers|soon|wishes|sincerely|best|grüße|grüßen|gruß|dank|danke|saludos?|gracias|abrazo|atentamente|pronto|cordialement|merci|bientôt|amicalement|vous)\b", re.I)
 _DEVICE = re.compile(r"\b(?:sent from|get the|gesendet|gesendet von|envoyé de|envoyé depuis|rédigé sur|enviado desde|escrito desde|mobil\w*|móvil|tablets?|tableta|phone|téléphone|keyboard)\b", re.I)
 
+_NOTICE = re.compile(
+    r"\b(?:confidential\w*|vertraulich\w*|confidenti\w+|confidencial\w*|privileged|disclaimer|registered office|sitz der gesellschaft|siège social|domicilio social|HRB|GmbH|S\.?A\.?R\.?L|views (?:above|expressed)|no warranty|"
+    r"intended (?:only|solely)|received (?:it|this) (?:by|in) (?:mistake|error)|irrtümlich|par erreur|por error|before printing|avant d'imprimer|antes de imprimir|ausdrucken)\b|\bLtd\.",
+    re.I,
+)
+
 KINDS = ("text", "intro", "field", "forward", "delimiter")
 FEATURES = (
     "depth", "intro", "field", "forward", "delimiter", "contacts", "ancestor", "words", "sender_share", "threads", "has_last_name", "is_first_name",
-    "first_block", "after_closing", "after_delimiter", "after_history", "prev_quoted", "prev_open", "lower_start", "next_quoted", "ends_sentence", "words_a_line", "closing", "any_ancestor", "followed_by_quote", "delimiter_above_close", "closing_words", "device_words", "region_ancestor", "name_block",
+    "first_block", "after_closing", "after_delimiter", "after_history", "prev_quoted", "prev_open", "lower_start", "next_quoted", "ends_sentence", "words_a_line", "closing", "any_ancestor", "followed_by_quote", "delimiter_above_close", "closing_words", "device_words", "region_ancestor", "name_block", "notice",
 )
 
 
@@ -234,6 +240,7 @@ def features(body: str, sender: str | None, stats: dict[int, tuple[float, float,
         closing_words = bool(len(lines[0].split()) <= 7 and _CLOSING.search(lines[0]))
         is_closing = bool(b["depth"] == 0 and b["kind"] == "text" and i and short and closing_words and not device and not (last and last in names))
         name_block = bool(b["kind"] == "text" and len(words) / len(lines) <= 6 and len(words) <= 24 and (last and last in [w.lower() for w in _WORD.findall(lines[0])]) and (len(lines) > 1 or contacts or len(words) <= 3))
+        notice = bool(i and b["kind"] == "text" and len(words) <= 45 and _NOTICE.search(text))
         quoted_after = any(y["depth"] for y in bl[i + 1 :])
         v = {
             "depth": b["depth"], "intro": b["kind"] == "intro", "field": b["kind"] == "field", "forward": b["kind"] == "forward", "delimiter": b["kind"] == "delimiter",
@@ -243,7 +250,7 @@ def features(body: str, sender: str | None, stats: dict[int, tuple[float, float,
             "prev_quoted": bool(prev and prev["depth"] and not b["gap"]), "prev_open": bool(prev and prev["texts"][-1].strip() and not prev["texts"][-1].rstrip().endswith((".", "!", "?", ":", ",", ";"))),
             "lower_start": text[:1].islower(), "next_quoted": bool(nxt and nxt["depth"]), "ends_sentence": text.rstrip().endswith((".", "!", "?", ":", ",")), "words_a_line": len(words) / len(lines),
             "closing": is_closing, "any_ancestor": ancestor > 0.3, "followed_by_quote": quoted_after, "delimiter_above_close": bool(prev and prev["kind"] == "delimiter"),
-            "closing_words": closing_words, "device_words": device, "region_ancestor": region if history else 0.0, "name_block": name_block,
+            "closing_words": closing_words, "device_words": device, "region_ancestor": region if history else 0.0, "name_block": name_block, "notice": notice,
         }
         for f, val in v.items():
             x[i, at[f]] = float(val)
@@ -256,7 +263,9 @@ def features(body: str, sender: str | None, stats: dict[int, tuple[float, float,
             label[i] = 1
         elif history and (ancestor >= 0.3 or len(words) < 8 or region < 0.3):
             label[i] = 1
-        elif device or (name_block and i):
+        elif i == 0 and ancestor < 0.5:
+            label[i] = 0
+        elif device or name_block or (notice and (closing or delimiter or i == n - 1 or bl[i + 1]["kind"] != "text" or bl[i + 1]["depth"])):
             label[i] = 1
         elif len(words) >= 8 and ancestor >= 0.5:
             label[i] = 1
