@@ -16,10 +16,16 @@ def scoped(df: DataFrame, project: str | None) -> DataFrame:
 
 
 def latest(chunks: DataFrame) -> DataFrame:
-    """One row per (source_path, ordinal): the last indexed, of equal ones the larger chunk_id."""
-    cols = [c for c in chunks.columns if c not in ("source_path", "ordinal")]
-    last = chunks.groupBy("source_path", "ordinal").agg(F.max_by(F.struct(*cols), F.struct("indexed_at", "chunk_id")).alias("_r"))
-    return last.select("source_path", "ordinal", *(F.col("_r")[c].alias(c) for c in cols)).select(*chunks.columns)
+    """The last indexed row of each (source_path, ordinal), of equally late ones that with the larger chunk_id.
+
+    Only keys and ids are grouped; the superseded ids, few as a rule, are then taken out, so that texts and vectors needn't be shuffled.
+    Rows with a null key are all kept.
+    """
+    key = ["source_path", "ordinal"]
+    narrow = chunks.select(*key, "chunk_id", "indexed_at")
+    many = narrow.groupBy(key).agg(F.max(F.struct("indexed_at", "chunk_id")).alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
+    older = narrow.join(many, key).filter(F.col("chunk_id") != F.col("_last.chunk_id")).select("chunk_id")
+    return chunks.join(older, "chunk_id", "left_anti").select(*chunks.columns)
 
 
 def list_sources(chunks: DataFrame, project: str | None = None) -> DataFrame:

@@ -101,7 +101,11 @@ def shortest_labels(spark, d):
     return catalog.shortest_labels(table(spark, d, "chunks").select(F.col("source_path").alias("path")))
 
 
-@query("scan_statistics")
+@query("scan_statistics", """WITH d AS (SELECT *, round(font_size*2)/2 AS size FROM pdf_lines), s AS (SELECT source_path, size, sum(word_count) AS w FROM d WHERE size IS NOT NULL AND word_count>0 GROUP BY ALL),
+ b AS (SELECT source_path, min(size) AS body_size FROM (SELECT *, sum(w) OVER (PARTITION BY source_path ORDER BY size) AS c, sum(w) OVER (PARTITION BY source_path) AS t FROM s) WHERE c>t//2 GROUP BY source_path),
+ l AS (SELECT source_path, round(lag(baseline) OVER (PARTITION BY source_path, page_no ORDER BY line_no, line_id)-baseline,1) AS gap FROM d), n AS (SELECT source_path, gap, count(*) AS w FROM l WHERE gap>0 GROUP BY ALL),
+ g AS (SELECT source_path, min(gap) AS typical_gap FROM (SELECT *, sum(w) OVER (PARTITION BY source_path ORDER BY gap) AS c, sum(w) OVER (PARTITION BY source_path) AS t FROM n) WHERE c>t//2 GROUP BY source_path)
+ SELECT c.source_path, body_size, typical_gap, lines, pages FROM (SELECT source_path, count(*) AS lines, count(DISTINCT page_no) AS pages FROM d GROUP BY source_path) c LEFT JOIN b ON b.source_path=c.source_path LEFT JOIN g ON g.source_path=c.source_path""")
 def scan_statistics(spark, d):
     return layout.statistics(table(spark, d, "pdf_lines"))
 

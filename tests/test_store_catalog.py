@@ -50,6 +50,11 @@ def test_find_document_by_name_and_window(spark):
     assert [r.ordinal for r in catalog.document_window(d, 1, 2).orderBy("ordinal").collect()] == [0, 1, 2, 3]
 
 
+def test_latest(spark):
+    d = spark.createDataFrame([(1, "/a", 0, T0), (2, "/a", 0, T0), (3, "/a", 0, None), (4, "/a", 1, T0), (5, None, 0, T0), (6, None, 0, T0)], "chunk_id long, source_path string, ordinal int, indexed_at timestamp")
+    assert {r.chunk_id for r in catalog.latest(d).collect()} == {2, 4, 5, 6}
+
+
 def test_stale(spark):
     c = chunk_rows(spark, [(1, "p", "/old", 0, "t")])
     r = catalog.stale(c, F.to_timestamp(F.lit("2026-02-01 12:00:00")), 30).first()
