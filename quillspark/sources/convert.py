@@ -301,7 +301,8 @@ def xlsx(path: str, content: bytes) -> Converted:
     z = zipfile.ZipFile(io.BytesIO(content))
     shared = _zip_xml(z, "xl/sharedStrings.xml")
     strings = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in shared] if shared is not None else []
-    rels = {r.get("Id"): r.get("Target", "") for r in (_zip_xml(z, "xl/_rels/workbook.xml.rels") or [])}
+    links = _zip_xml(z, "xl/_rels/workbook.xml.rels")
+    rels = {r.get("Id"): r.get("Target", "") for r in (links if links is not None else ())}
     title = _property(z, "title") or stem(path)
     out = [f"# {title}"]
     for sheet in (e for e in _zip_xml(z, "xl/workbook.xml").iter() if _local(e.tag) == "sheet"):
