@@ -5,12 +5,15 @@ Class vectors are routed to shards by centroids (fitted on a bounded sample; eve
 a directed graph is built in rounds that double the number of points: a greedy beam search over the graph so far
 proposes neighbours, and robust pruning keeps an edge only if no kept neighbour is much nearer to its end (relaxed by
 ALPHA); reverse edges are added and pruned alike. What the searches propose are the neighbours within a shard (a pair is proposed
-when its later point is added). Every class vector is also a query to the other ones of its PROBES nearest shards, by beam search;
-what it finds is compared again by the exact cosine in double precision, and counts for
+when its later point is added). Every class vector is also a query to other shards, by beam search: its PROBES nearest ones and
+all that are hardly farther than the nearest (MARGIN); what it finds is compared again by the exact cosine in double precision, and counts for
 both vectors of the pair.
 
+Cells whose centroids lie nearer to each other than their own vectors do (NEAR) don't separate neighbours: they are one shard.
 A shard over SHARD_MAX vectors (a dense region that holds a large part of all) is cut into sub-shards by a hash, each
-with its own graph, and its queries search all of them. Copies never enter one task: lists of ids are limited
+with its own graph, and its queries search all of them, at most SLICE in a task. Each graph is tried on TRIED of its own vectors:
+where it misses more than 1 - TRUST of their exact neighbours (vectors about evenly spread in a dense region), the whole part is searched
+by matrix products instead. Copies never enter one task: lists of ids are limited
 before the shuffle.
 
 Defined results: null vectors and vectors that are empty, of another length than most, zero or not finite take no part. Repeated rows do:
@@ -32,6 +35,10 @@ from quillspark.session import materialize
 DEGREE, BEAM, EXPAND, ALPHA = 20, 40, 4, 1.2
 #: Vectors a shard should hold, at most holds, the sample the centroids are fitted on, and the shards a query searches.
 SHARD, SHARD_MAX, SAMPLE, PROBES = 2000, 40_000, 20_000, 3
+#: Cells are one shard where their centroids' distance is at most this share of the smaller radius; shards up to so much farther than the nearest are visited; visitors of a task.
+NEAR, MARGIN, SLICE = 0.75, 0.1, 100_000
+#: Vectors a graph is tried on, and the share of their neighbours it must find.
+TRIED, TRUST = 128, 0.98
 _BATCH = 256
 
 
@@ -163,6 +170,15 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return graph, entry, np.concatenate(one), np.concatenate(other)
 
 
+def search_whole(x: np.ndarray, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place in ``x``): the ``k`` nearest of each query among all of ``x``, those of ``least`` or more."""
+    s = q @ x.T
+    m = min(k, len(x))
+    best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    r, c = np.nonzero(np.take_along_axis(s, best, 1) >= least)
+    return r, best[r, c]
+
+
 def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, neighbour ids, cosines) within one shard: up to ``k`` for each query, at ``least`` or more."""
     base = np.flatnonzero(is_base)
@@ -184,13 +200,24 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_q
     # a point of the graph has its proposals, and those that name it
     close = (one != other) & (np.einsum("ij,ij->i", x[one], x[other]) >= least - 1e-4)
     pairs = np.unique(np.stack([np.minimum(one, other)[close], np.maximum(one, other)[close]], axis=1), axis=0)
-    for i in range(0, len(pairs), 1 << 18):
+    # the graph is tried: what its proposals hold of the exact neighbours of some of its points
+    tried = np.unique(np.linspace(0, len(base) - 1, min(TRIED, len(base))).astype(np.int64))
+    r, c = search_whole(x, x[tried], k + 1, least)
+    a, b = tried[r[tried[r] != c]], c[tried[r] != c]
+    known = np.isin(np.minimum(a, b) * len(base) + np.maximum(a, b), pairs[:, 0].astype(np.int64) * len(base) + pairs[:, 1])
+    whole = len(a) > 0 and known.mean() < TRUST
+    for i in range(0, 0 if whole else len(pairs), 1 << 18):
         a, b = base[pairs[i : i + (1 << 18)].T]
         compare(a, b)
         compare(b, a)
-    queries = np.flatnonzero(is_query & ~is_base)
+    queries = np.flatnonzero(is_query if whole else is_query & ~is_base)
     for i in range(0, len(queries), _BATCH):
         q = queries[i : i + _BATCH]
+        if whole:  # one more for the query itself, some more for ties
+            r, c = search_whole(x, unit[q], k + 4, least - 1e-4)
+            other = q[r] != base[c]
+            compare(q[r[other]], base[c[other]])
+            continue
         found, sims = beam_search(x, graph, entry, unit[q], BEAM)
         r, c = np.nonzero((found >= 0) & (sims >= least - 1e-4))
         compare(q[r], base[found[r, c]])
@@ -213,6 +240,33 @@ def fit_centroids(sample: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
     return c
 
 
+def merge_cells(sample: np.ndarray, centroids: np.ndarray, near: float = NEAR) -> np.ndarray:
+    """The shard of each centroid: cells are joined, also through others, where their centroids are near for the cells' mean radius."""
+    s = _unit(sample) @ centroids.T
+    own = s.argmax(1)
+    size = np.bincount(own, minlength=len(centroids))
+    radius = np.bincount(own, np.sqrt(np.maximum(0, 2 - 2 * s.max(1))), len(centroids)) / np.maximum(size, 1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centroids @ centroids.T)))
+    linked = (apart <= near * np.minimum(radius[:, None], radius[None, :])) | np.eye(len(centroids), dtype=bool)
+    shard = np.arange(len(centroids))
+    while True:
+        least = np.where(linked, shard[None, :], len(centroids)).min(axis=1)
+        if (least == shard).all():
+            return np.unique(shard, return_inverse=True)[1]
+        shard = least
+
+
+def visits(x: np.ndarray, centroids: np.ndarray, shard: np.ndarray, probes: int = PROBES, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home) of all shards the vectors of length one visit: the nearest ones, and all not much farther than the nearest."""
+    order = np.argsort(shard, kind="stable")
+    s = np.maximum.reduceat(x @ centroids[order].T, np.searchsorted(shard[order], np.arange(shard.max() + 1)), axis=1)
+    far = np.sqrt(np.maximum(0, 2 - 2 * s))
+    to = far <= (1 + margin) * far.min(axis=1, keepdims=True)
+    np.put_along_axis(to, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+    row, at = np.nonzero(to)
+    return row, at, far.argmin(axis=1)[row] == at
+
+
 def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         return np.concatenate([_matrix(c) for c in col.chunks]) if col.num_chunks else np.empty((0, 1), np.float32)
@@ -244,24 +298,24 @@ def nearest(df: DataFrame, k: int = 5, least: float = -1.0, id_col: str = "chunk
     part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / max(1, n))))
     sample = np.array([r.v for r in reps.filter(part).limit(2 * SAMPLE).collect()], dtype=np.float32)
     centroids = fit_centroids(sample, min(shards, max(1, len(sample)))) if len(sample) else np.ones((1, 1), np.float32)
-    probes = min(PROBES, len(centroids))
+    shard = merge_cells(sample, centroids) if len(sample) else np.zeros(1, int)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            s = _unit(_matrix(b.column("v"))) @ centroids.T
-            near = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            at = pa.array(np.repeat(np.arange(b.num_rows), probes))
-            home = np.zeros(near.shape, dtype=bool)
-            home[:, 0] = True
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), pa.array(home.ravel()), b.column("id").take(at), b.column("v").take(at)], ["shard", "home", "id", "v"])
+            row, to, home = visits(_unit(_matrix(b.column("v"))), centroids, shard)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(home), b.column("id").take(at), b.column("v").take(at)], ["shard", "home", "id", "v"])
 
     routed = materialize(reps.mapInArrow(route, "shard int, home boolean, id long, v array<float>"), "vector-routes")
-    sizes = routed.filter("home").groupBy("shard").count().collect()  # at most SAMPLE / 16 rows
-    parts = spark.createDataFrame([(r.shard, -(-r["count"] // SHARD_MAX)) for r in sizes] or [(0, 1)], "shard int, parts int")
+    sizes = routed.groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("visitors")).collect()  # at most SAMPLE / 16 rows
+    parts = spark.createDataFrame([(r.shard, max(1, -(-r.own // SHARD_MAX)), -(-r.visitors // SLICE)) for r in sizes] or [(0, 1, 1)], "shard int, parts int, slices int")
     placed = routed.join(F.broadcast(parts), "shard").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = placed.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", "id", "v", "_own").withColumn("base", F.col("home") & (F.col("part") == F.col("_own")))
+    placed = placed.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", "id", "v", "_own", "slices").withColumn("base", F.col("home") & (F.col("part") == F.col("_own")))
+    # a part's own vectors are in all of its slices, a visitor in one
+    of = F.pmod(F.xxhash64("id", F.lit(3)), F.col("slices")).cast("int")
+    placed = placed.withColumn("slice", F.explode(F.when(F.col("base"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(of))))
 
     def search(table: pa.Table) -> pa.Table:
         t = table
@@ -269,7 +323,7 @@ def nearest(df: DataFrame, k: int = 5, least: float = -1.0, id_col: str = "chunk
         a, b, cos = search_shard(ids, _matrix(t["v"]), np.asarray(t["base"]), np.ones(len(ids), dtype=bool), 2 * k, least)
         return pa.table({"rep": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(cos, pa.float64())})
 
-    found = placed.select("shard", "part", "base", "id", "v").groupBy("shard", "part").applyInArrow(search, "rep long, other long, similarity double")
+    found = placed.select("shard", "part", "slice", "base", "id", "v").groupBy("shard", "part", "slice").applyInArrow(search, "rep long, other long, similarity double")
     # what one side's search found counts for the other side too, so that a pair has two chances
     found = found.unionByName(found.select(F.col("other").alias("rep"), F.col("rep").alias("other"), "similarity")).distinct()
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")

@@ -52,6 +52,23 @@ def test_a_dense_region_is_cut_into_parts(spark, monkeypatch):
     assert len(got & want) / len(want) > 0.95
 
 
+def test_a_dense_region_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(vg, "SHARD", 75)
+    monkeypatch.setattr(vg, "SHARD_MAX", 900)
+    monkeypatch.setattr(vg, "SLICE", 700, raising=False)
+    r = np.random.default_rng(6)
+    middle = r.normal(size=48)
+    x = np.concatenate([clustered(3200, 3, 48), middle / np.linalg.norm(middle) + 0.045 * r.normal(size=(1600, 48))]).astype(np.float32)
+    d = spark.createDataFrame([(i, [float(v) for v in x[i]], "", "", "", "") for i in range(len(x))], SCHEMA)
+    got = {(r.chunk_id, r.neighbor_id) for r in vg.nearest(d, 5, 0.85).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sims = u @ u.T - 9 * np.eye(len(u))
+    best = np.argpartition(-sims, 5, axis=1)[:, :5]
+    want = {(i, int(j)) for i in range(len(u)) for j in best[i] if sims[i, j] >= 0.85}
+    dense = {p for p in want if p[0] >= 3200}
+    assert len(dense) > 5000 and len(got & dense) / len(dense) > 0.97 and len(got & want) / len(want) > 0.97
+
+
 def test_empty_and_single(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0], "", "", "", "")], SCHEMA)
     assert vg.nearest(d, 5).count() == 0 and vg.nearest(d.limit(0), 5).count() == 0
