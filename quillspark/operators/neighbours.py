@@ -1,9 +1,10 @@
-"""Top neighbours of every row among the rows of its group, by cosine, through an inverted file of cells.
+"""Top neighbours of every row among the rows of its group, by cosine.
 
-The cells' centroids are fitted on a bounded sample; every row is assigned. A row is compared, exactly and in blocks of
-matrix products, with all rows of its group in the PROBES cells nearest to it. A cell that holds more than MOST rows of one
-group is cut by a hash and its queries visit every part. Measured against brute force on the test tables, the neighbours at
-the nomination floor are found with a recall over 0.95 (see the tests).
+A row of a group of at most WHOLE rows is compared, exactly and in blocks of matrix products, with all rows of the group.
+Rows of larger groups go through an inverted file of cells, whose centroids are fitted on a bounded sample of such rows; every
+row is assigned. A row is compared with all rows of its group in the PROBES cells nearest to it and in all cells hardly
+farther than the nearest (MARGIN), and what it finds counts for both rows. A cell, or a whole group, that holds more than MOST
+rows of one group is cut by a hash and its queries visit every part.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import vectors as vx
 
 CELL, MOST, SAMPLE, PROBES = 2000, 20_000, 20_000, 4
+#: Rows of a group compared whole; how much farther than the nearest a visited cell may be.
+WHOLE, MARGIN = 40_000, 0.2
 
 
 def _centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -32,6 +35,27 @@ def _centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _routed(rows: DataFrame, n: int) -> DataFrame:
+    """(cell, home, id, g, a, v): the rows in the cells they visit."""
+    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / n)))
+    sample = np.array([r.v for r in rows.filter(part).limit(2 * SAMPLE).collect()] or [r.v for r in rows.limit(1).collect()], dtype=np.float64)
+    centroids = _centroids(sample, max(1, min(-(-n // CELL), len(sample), SAMPLE // 16))).astype(np.float32)
+    probes = min(PROBES, len(centroids))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = vx.unit_rows(vx.matrix(b.column("v"))).astype(np.float32) @ centroids.T
+                far = np.sqrt(np.maximum(0, 2 - 2 * s))
+                to = far <= (1 + MARGIN) * far.min(axis=1, keepdims=True)
+                np.put_along_axis(to, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+                row, cell = np.nonzero(to)
+                take, home = pa.array(row), far.argmin(axis=1)[row] == cell
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home), *(b.column(c).take(take) for c in ("id", "g", "a", "v"))], ["cell", "home", "id", "g", "a", "v"])
+
+    return rows.mapInArrow(route, "cell int, home boolean, id long, g long, a long, v array<float>")
+
+
 def top_neighbours(df: DataFrame, id_col: str, vector_col: str, group: str, apart: str, k: int, least_cosine: float) -> DataFrame:
     """(id, other_id, cosine): up to k nearest rows of the same ``group`` with another value of ``apart``, at ``least_cosine`` or more.
 
@@ -43,21 +67,12 @@ def top_neighbours(df: DataFrame, id_col: str, vector_col: str, group: str, apar
     schema = "id long, other_id long, cosine double"
     if n == 0:
         return spark.createDataFrame([], schema)
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / n)))
-    sample = np.array([r.v for r in rows.filter(part).limit(2 * SAMPLE).collect()] or [r.v for r in rows.limit(1).collect()], dtype=np.float64)
-    centroids = _centroids(sample, max(1, min(-(-n // CELL), len(sample), SAMPLE // 16))).astype(np.float32)
-    probes = min(PROBES, len(centroids))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = np.argsort(-(vx.unit_rows(vx.matrix(b.column("v"))).astype(np.float32) @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-                take = pa.array(np.repeat(np.arange(b.num_rows), probes))
-                home = np.zeros(near.shape, dtype=bool)
-                home[:, 0] = True
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), pa.array(home.ravel()), *(b.column(c).take(take) for c in ("id", "g", "a", "v"))], ["cell", "home", "id", "g", "a", "v"])
-
-    routed = rows.mapInArrow(route, "cell int, home boolean, id long, g long, a long, v array<float>")
+    sized = rows.join(rows.groupBy("g").agg(F.count("*").alias("_rows")), "g")
+    small, large = (sized.filter(c).select("id", "g", "a", "v") for c in (F.col("_rows") <= WHOLE, F.col("_rows") > WHOLE))
+    routed = small.select(F.lit(-1).alias("cell"), F.lit(True).alias("home"), "id", "g", "a", "v")
+    n = large.count()
+    if n:
+        routed = routed.unionByName(_routed(large, n))
     sizes = routed.filter("home").groupBy("g", "cell").agg(F.ceil(F.count("*") / MOST).cast("int").alias("parts"))
     placed = routed.join(sizes, ["g", "cell"])  # a cell without rows of the group has nothing to find
     placed = placed.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("g", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", "id", "a", "v", "_own")
@@ -82,5 +97,7 @@ def top_neighbours(df: DataFrame, id_col: str, vector_col: str, group: str, apar
         return pa.table({"id": pa.array(x, pa.int64()), "other_id": pa.array(y, pa.int64()), "cosine": pa.array(z, pa.float64())})
 
     found = placed.groupBy("g", "cell", "part").applyInArrow(compare, schema)
+    # what one side found counts for the other side too
+    found = found.unionByName(found.select(F.col("other_id").alias("id"), F.col("id").alias("other_id"), "cosine")).groupBy("id", "other_id").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other_id")
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")

@@ -137,3 +137,22 @@ def test_neighbours_recall_and_nulls(spark):
     s[np.equal.outer(np.arange(3000) % 50, np.arange(3000) % 50)] = -1
     want = {(i, int(j)) for i in range(3000) for j in np.argsort(-s[i])[:3] if s[i, j] >= 0.8}
     assert len(got & want) / len(want) > 0.95 and not {i for p in got for i in p} & {9001, 9002, 9003, 9004}
+
+
+def test_neighbours_in_a_dense_region(spark, monkeypatch):
+    import numpy as np
+
+    from quillspark.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=48)
+    x = middle / np.linalg.norm(middle) + 0.045 * rng.normal(size=(2000, 48))
+    d = spark.createDataFrame([(i, "p", str(i), [float(v) for v in x[i]]) for i in range(2000)], "id long, g string, a string, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T - 9 * np.eye(2000)
+    want = {(i, int(j)) for i in range(2000) for j in np.argsort(-s[i])[:3] if s[i, j] >= 0.8}
+    monkeypatch.setattr(neighbours, "CELL", 100)
+    found = lambda: {(r.id, r.other_id) for r in neighbours.top_neighbours(d, "id", "v", "g", "a", 3, 0.8).collect()}
+    assert len(want) > 5000 and found() == want
+    monkeypatch.setattr(neighbours, "WHOLE", 0)
+    assert len(found() & want) / len(want) > 0.95
