@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
+# Fixed value: what mail programs set before the subject of a reply or a forwarded mail.
+REPLY_MARKS = ("re", "fw", "fwd", "aw", "sv", "vs")
+REPLY_PREFIX = rf"^(?:(?:{'|'.join(REPLY_MARKS)})\s*(?:\[\d+\])?\s*:\s*)+"
+
 
 def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -101,7 +105,7 @@ def escape_cell(t: ColumnOrName, backslash: bool = False) -> Column:
 
 
 def without_reply_prefix(subject: ColumnOrName) -> Column:
-    return F.regexp_replace(_c(subject), r"(?i)^((re|fw|fwd|aw|sv|vs)\s*(\[\d+\])?\s*:\s*)+", "")
+    return F.regexp_replace(_c(subject), f"(?i){REPLY_PREFIX}", "")
 
 
 def mentions(t: ColumnOrName) -> Column:
@@ -168,7 +172,7 @@ def natural_key(t: ColumnOrName) -> Column:
     """A sort key by which ``Item 9`` comes before ``Item 10``: digit runs padded, letters in lower case."""
     parts = F.regexp_extract_all(F.lower(F.coalesce(_c(t), F.lit(""))), F.lit(r"\d+|\D+"), F.lit(0))
     digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p))).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p)), "")
 
 
 def strip_breadcrumb(content: ColumnOrName, heading: ColumnOrName) -> Column:

@@ -53,7 +53,7 @@ def escaped_cells(spark, d):
     return table(spark, d, "chunks").select("chunk_id", tx.escape_cell("text", backslash=True).alias("cell"))
 
 
-@query("thread_subjects", r"SELECT email_id, regexp_replace(subject,'(?i)^((re|fw|fwd|aw|sv|vs)\s*(\[\d+\])?\s*:\s*)+','') AS subject FROM emails")
+@query("thread_subjects", f"SELECT email_id, regexp_replace(subject,'(?i){tx.REPLY_PREFIX}','') AS subject FROM emails")
 def thread_subjects(spark, d):
     return table(spark, d, "emails").select("email_id", tx.without_reply_prefix("subject").alias("subject"))
 

@@ -1,144 +1,285 @@
-"""A tolerant reader of SQL schema dumps, by a token scan rather than a grammar, and the schema's markdown.
+"""A tolerant reader of SQL schema dumps: a cursor walks the tokens of each statement, and what it can't read is counted.
 
-A dump is cut into tokens (quoted strings, quoted names, dollar-quoted bodies, comments, brackets, words); statements are
-runs of tokens between semicolons. Unknown statements are counted, never an error.
+A dump is cut into tokens once (strings, dollar-quoted bodies, quoted names, words, marks; comments and white space are only gaps). A
+statement is the tokens up to a semicolon. Its first keyword says how to go on; brackets are taken as token groups, so nothing is
+searched for in a statement's text. Unknown statements are never an error.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 _TOKENS = re.compile(
-    r"(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<dollar>\$(?P<tag>[A-Za-z_]*)\$.*?(?:\$(?P=tag)\$|\Z))|(?P<string>'(?:[^']|'')*(?:'|\Z))"
-    r"|(?P<name>(?:\"[^\"]*\"|`[^`]*`|\[[^\]\n]*\]|\w+)(?:\s*\.\s*(?:\"[^\"]*\"|`[^`]*`|\[[^\]\n]*\]|\w+))*)|(?P<mark>[();,])|(?P<space>\s+)|(?P<other>.)",
+    r"(?P<gap>\s+|--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<body>\$(?P<tag>\w*)\$.*?(?:\$(?P=tag)\$|\Z))|(?P<string>'(?:[^']|'')*(?:'|\Z))"
+    r"|(?P<quoted>\"[^\"]*\"|`[^`]*`|\[[^\]\n]*\])|(?P<word>\w+)|(?P<mark>.)",
     re.S,
 )
-_FLAGS = re.compile(r"\s+(?:NOT\s+NULL|NULL|DEFAULT|PRIMARY\s+KEY|REFERENCES|UNIQUE|CHECK|CONSTRAINT|GENERATED|COLLATE|AUTO_INCREMENT|IDENTITY)\b", re.I)
-_TABLE_LEVEL = {"PRIMARY", "CONSTRAINT", "FOREIGN", "UNIQUE", "CHECK", "KEY", "INDEX", "EXCLUDE", "LIKE"}
-_FK = re.compile(r"\bREFERENCES\s+([^\s(]+)\s*(?:\(([^)]*)\))?", re.I)
-_DATA = re.compile(r"^(?:INSERT|UPDATE|DELETE|COPY|MERGE|TRUNCATE)\b", re.I)
-_OTHER = re.compile(r"^CREATE\s+(?:OR\s+REPLACE\s+)?(?:UNIQUE\s+|MATERIALIZED\s+|TEMP(?:ORARY)?\s+)*(?P<kind>VIEW|INDEX|FUNCTION|PROCEDURE|TRIGGER|TYPE|SEQUENCE|SCHEMA|EXTENSION|DOMAIN)\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(?P<name>[^\s(]+)", re.I)
+# The SQL keywords this reader gives a meaning.
+_DATA_VERBS = {"COPY", "DELETE", "INSERT", "MERGE", "TRUNCATE", "UPDATE"}
+_OBJECTS = {"DOMAIN", "EXTENSION", "FUNCTION", "INDEX", "PROCEDURE", "SCHEMA", "SEQUENCE", "TRIGGER", "TYPE", "VIEW"}
+_NOT_A_COLUMN = {"CHECK", "CONSTRAINT", "EXCLUDE", "FOREIGN", "INDEX", "KEY", "LIKE", "PRIMARY", "UNIQUE"}
+_COUNTERS = {"AUTO_INCREMENT", "GENERATED", "IDENTITY"}
+_END_OF_TYPE = {"CHECK", "COLLATE", "CONSTRAINT", "DEFAULT", "NOT", "NULL", "PRIMARY", "REFERENCES", "UNIQUE"} | _COUNTERS
+#: The order in which a column's flags are shown; a default comes last.
+_FLAG_ORDER = ("PK", "NOT NULL", "UNIQUE", "auto")
+#: Characters of a view's definition that are shown; the longest leftover that isn't worth counting.
+VIEW_CHARS, SCRAP = 240, 3
 
 
-def clean(name: str) -> str:
-    return ".".join(p.strip().strip('"`[] ') for p in name.strip().split("."))
+@dataclass(frozen=True)
+class Token:
+    kind: str
+    text: str
+    apart: bool  # whether something that is no token came before
 
+    @property
+    def key(self) -> str:
+        return self.text.upper() if self.kind == "word" else ""
 
-def columns(text: str) -> str:
-    return ", ".join(c for c in map(clean, (text or "").split(",")) if c)
+    @property
+    def plain(self) -> str:
+        """A name without its quotes; a string's content."""
+        if self.kind == "string":
+            return self.text[1:].removesuffix("'").replace("''", "'")
+        return self.text.strip('"`[] ') if self.kind == "quoted" else self.text
+
+
+def tokens(sql: str) -> Iterator[Token]:
+    apart = False
+    for m in _TOKENS.finditer(sql):
+        if m.lastgroup != "gap" and not m["gap"]:
+            kind = "body" if m["body"] else m.lastgroup
+            yield Token(kind, m[0], apart)
+        apart = bool(m["gap"])
+
+
+def written(part: list[Token]) -> str:
+    """Tokens as text, every gap as one space."""
+    return "".join((" " if t.apart and i else "") + " ".join(t.text.split()) for i, t in enumerate(part))
+
+
+class Cursor:
+    """A place in a statement's tokens."""
+
+    def __init__(self, part: list[Token]):
+        self.part, self.at = part, 0
+
+    def __bool__(self) -> bool:
+        return self.at < len(self.part)
+
+    def here(self) -> Token:
+        return self.part[self.at] if self else Token("end", "", True)
+
+    def next(self) -> Token:
+        t = self.here()
+        self.at += 1
+        return t
+
+    def take(self, *keys: str) -> bool:
+        """Steps over these keywords if they come next, all of them."""
+        if [t.key for t in self.part[self.at : self.at + len(keys)]] != list(keys):
+            return False
+        self.at += len(keys)
+        return True
+
+    def skip(self, keys: set[str]) -> None:
+        while self and self.here().key in keys:
+            self.at += 1
+
+    def seek(self, *keys: str) -> bool:
+        """Goes on to just behind these keywords; to the end where they don't come."""
+        while self:
+            if self.take(*keys):
+                return True
+            self.at += 1
+        return False
+
+    def name(self) -> str:
+        """A name of one or more parts with dots between; empty where none comes next."""
+        parts = []
+        while self.here().kind in ("word", "quoted"):
+            parts.append(self.next().plain)
+            if self.here().text != ".":
+                break
+            self.at += 1
+        return ".".join(parts)
+
+    def group(self) -> list[Token]:
+        """The tokens within the bracket that opens here, none where no bracket does; an open one ends with the statement."""
+        if self.here().text != "(":
+            return []
+        depth, first = 0, self.at + 1
+        while self:
+            t = self.next()
+            depth += {"(": 1, ")": -1}.get(t.text, 0) if t.kind == "mark" else 0
+            if not depth:
+                return self.part[first : self.at - 1]
+        return self.part[first:]
+
+
+def items(part: list[Token]) -> list[list[Token]]:
+    """The parts between commas outside of brackets."""
+    out: list[list[Token]] = [[]]
+    depth = 0
+    for t in part:
+        if t.kind == "mark":
+            depth += {"(": 1, ")": -1}.get(t.text, 0)
+            if t.text == "," and not depth:
+                out.append([])
+                continue
+        out[-1].append(t)
+    return [x for x in out if x]
+
+
+def _names(part: list[Token]) -> str:
+    return ", ".join(n for n in (Cursor(x).name() for x in items(part)) if n)
 
 
 def same_table(a: str, b: str) -> bool:
     return a.rsplit(".", 1)[-1].lower() == b.rsplit(".", 1)[-1].lower()
 
 
-def statements(sql: str) -> list[str]:
-    """The statements without comments; semicolons in strings and dollar-quoted bodies don't end one."""
-    out, cur = [], []
-    for m in _TOKENS.finditer(sql):
-        if m["comment"]:
-            continue
-        if m["mark"] == ";":
-            out.append("".join(cur).strip())
-            cur = []
-        else:
-            cur.append(m[0])
-    out.append("".join(cur).strip())
-    return [s for s in out if s]
-
-
-def _top_level(text: str) -> list[str]:
-    """The parts between commas outside of brackets and strings."""
-    parts, depth = [""], 0
-    for m in _TOKENS.finditer(text):
-        depth += {"(": 1, ")": -1}.get(m["mark"] or "", 0)
-        if m["mark"] == "," and depth == 0:
-            parts.append("")
-        else:
-            parts[-1] += m[0]
-    return [p.strip() for p in parts if p.strip()]
-
-
-def _bracketed(text: str, start: int) -> str:
-    """What lies in the bracket that opens at or after ``start``."""
-    depth, begin = 0, None
-    for m in _TOKENS.finditer(text, start):
-        if m["mark"] == "(":
-            depth += 1
-            begin = m.end() if begin is None else begin
-        elif m["mark"] == ")":
-            depth -= 1
-            if depth == 0:
-                return text[begin : m.start()]
-    return text[begin:] if begin is not None else ""
-
-
-def _column(text: str, table: str, keys: list[dict]) -> dict:
-    word = re.match(r"\"[^\"]*\"|`[^`]*`|\[[^\]]*\]|[^\s(]+", text)[0]
-    name, rest = clean(word), text[len(word) :].strip()
-    cut = _FLAGS.search(" " + rest)
-    flags = [label for pattern, label in ((r"\bPRIMARY\s+KEY\b", "PK"), (r"\bNOT\s+NULL\b", "NOT NULL"), (r"\bUNIQUE\b", "UNIQUE"), (r"\b(?:AUTO_INCREMENT|IDENTITY|GENERATED)\b", "auto")) if re.search(pattern, rest, re.I)]
-    if d := re.search(r"\bDEFAULT\s+(\S+)", rest, re.I):
-        flags.append(f"DEFAULT {d[1].rstrip(',')}")
-    if fk := _FK.search(rest):
-        keys.append({"from_table": table, "from_columns": name, "to_table": clean(fk[1]), "to_columns": columns(fk[2])})
-    return {"name": name, "type": " ".join((" " + rest)[: cut.start()].split() if cut else rest.split()), "flags": flags, "comment": None}
-
-
-def _table(statement: str, name: str, start: int, schema: dict) -> None:
-    table = {"name": name, "columns": [], "comment": None}
-    primary: set[str] = set()
-    for item in _top_level(_bracketed(statement, start)):
-        first = re.match(r"\w*", item)[0].upper()
-        if first not in _TABLE_LEVEL:
-            table["columns"].append(_column(item, name, schema["foreign_keys"]))
-            continue
-        if m := re.search(r"PRIMARY\s+KEY\s*\(([^)]*)\)", item, re.I):
-            primary |= {clean(c).lower() for c in m[1].split(",")}
-        if m := re.search(r"FOREIGN\s+KEY\s*\(([^)]*)\)\s*", item, re.I):
-            if fk := _FK.search(item):
-                schema["foreign_keys"].append({"from_table": name, "from_columns": columns(m[1]), "to_table": clean(fk[1]), "to_columns": columns(fk[2])})
-    for c in table["columns"]:
-        if c["name"].lower() in primary and "PK" not in c["flags"]:
-            c["flags"].insert(0, "PK")
-    schema["tables"].append(table)
-
-
-def _comment(target: str, is_table: bool, text: str, schema: dict) -> None:
-    owner, _, column = (target, "", "") if is_table else target.rpartition(".")
-    for t in schema["tables"]:
-        if same_table(t["name"], owner):
-            for x in [t] if is_table else [c for c in t["columns"] if c["name"].lower() == column.lower()]:
-                x["comment"] = x["comment"] or text
-            return
+@dataclass
+class Schema:
+    """What a dump declares."""
+
+    tables: list[dict] = field(default_factory=list)
+    foreign_keys: list[dict] = field(default_factory=list)
+    others: list[str] = field(default_factory=list)
+    data_statements: int = 0
+    unrecognized: int = 0
+
+    def link(self, table: str, own: str, c: Cursor) -> None:
+        """The foreign key whose target the cursor stands at."""
+        self.foreign_keys.append({"from_table": table, "from_columns": own, "to_table": c.name(), "to_columns": _names(c.group())})
+
+    def read(self, statement: list[Token]) -> None:
+        c = Cursor(statement)
+        verb = c.next().key
+        if verb in _DATA_VERBS:
+            self.data_statements += 1
+        elif not {"CREATE": self.create, "ALTER": self.alter, "COMMENT": self.remark}.get(verb, lambda _: False)(c) and len(written(statement)) > SCRAP:
+            self.unrecognized += 1
+
+    def create(self, c: Cursor) -> bool:
+        while c and c.here().key not in _OBJECTS | {"TABLE"}:
+            if c.next().kind != "word":
+                return False
+        kind = c.next().key
+        c.take("CONCURRENTLY")
+        c.take("IF", "NOT", "EXISTS")
+        name = c.name()
+        if not name:
+            return False
+        if kind == "TABLE":
+            return self.table(name, c)
+        line = f"{kind} {name}"
+        if kind == "VIEW" and c.seek("AS"):
+            body = written(c.part[c.at :])
+            line += " AS " + (body[:VIEW_CHARS] + "…" if len(body) > VIEW_CHARS else body)
+        elif kind == "TYPE" and c.seek("AS", "ENUM"):
+            line += " AS ENUM (" + ", ".join(x[0].plain for x in items(c.group())) + ")"
+        elif kind == "INDEX" and c.seek("ON"):
+            line += f" on {c.name()} ({_names(c.group())})"
+        self.others.append(line)
+        return True
+
+    def table(self, name: str, c: Cursor) -> bool:
+        if c.here().text != "(":
+            return False
+        columns, primary = [], set()
+        for item in items(c.group()):
+            i = Cursor(item)
+            if i.here().key not in _NOT_A_COLUMN:
+                columns.append(self.column(name, i))
+                continue
+            while i:
+                if i.take("PRIMARY", "KEY"):
+                    primary |= set(_names(i.group()).lower().split(", "))
+                elif i.take("FOREIGN", "KEY"):
+                    own = _names(i.group())
+                    if i.seek("REFERENCES"):
+                        self.link(name, own, i)
+                else:
+                    i.at += 1
+        for x in columns:
+            if x["name"].lower() in primary and "PK" not in x["flags"]:
+                x["flags"].insert(0, "PK")
+        self.tables.append({"name": name, "columns": columns, "comment": None})
+        return True
+
+    def column(self, table: str, c: Cursor) -> dict:
+        name, start = c.next().plain, c.at
+        while c and c.here().key not in _END_OF_TYPE:
+            c.group() or c.next()
+        kind, flags, default, note = written(c.part[start : c.at]), set(), None, None
+        while c:
+            if c.take("PRIMARY", "KEY"):
+                flags.add("PK")
+            elif c.take("NOT", "NULL"):
+                flags.add("NOT NULL")
+            elif c.take("UNIQUE"):
+                flags.add("UNIQUE")
+            elif c.take("REFERENCES"):
+                self.link(table, name, c)
+            elif c.take("DEFAULT"):  # up to the next gap outside of brackets
+                at = c.at
+                c.group() or c.next()
+                while c and not c.here().apart:
+                    c.group() or c.next()
+                default = written(c.part[at : c.at])
+            elif c.take("COMMENT"):
+                note = c.next().plain
+            else:
+                if c.here().key in _COUNTERS:
+                    flags.add("auto")
+                c.group() or c.next()
+        shown = [f for f in _FLAG_ORDER if f in flags] + ([f"DEFAULT {default}"] if default else [])
+        return {"name": name, "type": kind, "flags": shown, "comment": note}
+
+    def alter(self, c: Cursor) -> bool:
+        if not c.take("TABLE"):
+            return False
+        c.skip({"ONLY", "IF", "EXISTS"})
+        name, found = c.name(), False
+        while c.seek("FOREIGN", "KEY"):
+            own = _names(c.group())
+            if c.seek("REFERENCES"):
+                self.link(name, own, c)
+                found = True
+        return found
+
+    def remark(self, c: Cursor) -> bool:
+        if not c.take("ON") or c.here().key not in ("TABLE", "COLUMN"):
+            return False
+        on_table, target = c.next().key == "TABLE", c.name()
+        if not c.take("IS") or c.here().kind != "string":
+            return False
+        owner, column = (target, None) if on_table else target.rpartition(".")[::2]
+        for t in self.tables:
+            if same_table(t["name"], owner):
+                for x in [t] if on_table else t["columns"]:
+                    if on_table or x["name"].lower() == column.lower():
+                        x["comment"] = x["comment"] or c.here().plain
+                break
+        return True
 
 
 def parse(sql: str) -> dict:
     """{tables, foreign_keys, others, data_statements, unrecognized}."""
-    schema: dict = {"tables": [], "foreign_keys": [], "others": [], "data_statements": 0, "unrecognized": 0}
-    for s in statements(sql):
-        if m := re.match(r"CREATE\s+(?:GLOBAL\s+|LOCAL\s+|TEMP(?:ORARY)?\s+|UNLOGGED\s+|EXTERNAL\s+)*TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?((?:\"[^\"]*\"|`[^`]*`|\[[^\]]*\]|[^\s(])+)\s*(?=\()", s, re.I):
-            _table(s, clean(m[1]), m.end(), schema)
-        elif m := re.match(r"ALTER\s+TABLE\s+(?:ONLY\s+|IF\s+EXISTS\s+)*(\S+)\s.*?FOREIGN\s+KEY\s*\(([^)]*)\)", s, re.I | re.S):
-            if fk := _FK.search(s):
-                schema["foreign_keys"].append({"from_table": clean(m[1]), "from_columns": columns(m[2]), "to_table": clean(fk[1]), "to_columns": columns(fk[2])})
-        elif m := re.match(r"COMMENT\s+ON\s+(TABLE|COLUMN)\s+(\S+)\s+IS\s+'((?:[^']|'')*)'", s, re.I):
-            _comment(clean(m[2]), m[1].upper() == "TABLE", m[3].replace("''", "'"), schema)
-        elif m := _OTHER.match(s):
-            kind, line = m["kind"].upper(), f"{m['kind'].upper()} {clean(m['name'])}"
-            if kind == "TYPE" and (e := re.search(r"AS\s+ENUM\s*\((.*)\)", s, re.I | re.S)):
-                line += " AS ENUM (" + ", ".join(v.strip().strip("'") for v in e[1].split(",") if v.strip()) + ")"
-            elif kind == "INDEX" and (e := re.search(r"\bON\s+([^\s(]+)\s*\(([^)]*)\)", s, re.I)):
-                line += f" on {clean(e[1])} ({columns(e[2])})"
-            elif kind == "VIEW" and (e := re.search(r"\bAS\b", s, re.I)):
-                body = " ".join(s[e.end() :].split())
-                line += " AS " + (body[:240] + "…" if len(body) > 240 else body)
-            schema["others"].append(line)
-        elif _DATA.match(s):
-            schema["data_statements"] += 1
-        elif len(s) > 3:
-            schema["unrecognized"] += 1
-    return schema
+    schema, statement = Schema(), []
+    for t in tokens(sql + ";"):
+        if t.kind == "mark" and t.text == ";":
+            if statement:
+                schema.read(statement)
+            statement = []
+        else:
+            statement.append(t)
+    if statement:  # a string or comment was left open
+        schema.read(statement)
+    return vars(schema)
 
 
 def render(schema: dict) -> str:

@@ -8,6 +8,8 @@ import email.utils
 import re
 from datetime import datetime, timezone
 
+from quillspark.functions.text import REPLY_PREFIX
+
 # The header fields and introductions that mail programs set before an earlier message.
 _HEADER = re.compile(r"^\*?(From|Sent|Date|To|Cc|Subject|Von|Gesendet|An|Betreff|De|Envoyé|À|Objet)\*?\s*:\*?\s*(.*)$", re.I)
 _WROTE = re.compile(r"^(?:On|Am|Le|El)\s.{4,200}?(?:wrote|schrieb.*|a écrit|escribió)\s*:\s*$", re.I | re.S)
@@ -104,7 +106,7 @@ def without_history(text: str) -> str:
 
 
 def subject_title(subject: str | None) -> str:
-    return re.sub(r"^((re|fw|fwd|aw|sv|vs)\s*(\[\d+\])?\s*:\s*)+", "", (subject or "").strip(), flags=re.I)
+    return re.sub(REPLY_PREFIX, "", (subject or "").strip(), flags=re.I)
 
 
 def _messages(content: bytes) -> list:
