@@ -95,19 +95,56 @@ def test_retry():
     assert not watch.retried(vanished) and watch.poll_interval(5) == 30 and watch.poll_interval(None) == 300
 
 
-def test_gateway(spark):
+def test_gateway(spark, tmp_path):
     g = gateway.Gateway(spark)
     g.register("numbers", spark.range(20).withColumn("t", F.concat(F.lit("a|b"), "id")))
     r = g.query("WITH x AS (SELECT id, t FROM numbers) SELECT * FROM x ORDER BY id", 3)
     assert r.status == "ok" and r.truncated and len(r.rows) == 3 and r.markdown().split("\n")[2] == "| 0 | a\\|b0 |"
-    for sql in ("DROP TABLE numbers", "CREATE TABLE y AS SELECT 1", "INSERT INTO numbers SELECT 1, 'x'", "SET a=b", " ", ""):
+    spark.sql(f"CREATE TABLE tgt (x INT) USING parquet LOCATION '{tmp_path}/tgt'")
+    for sql in (
+        "DROP TABLE numbers", "CREATE TABLE y AS SELECT 1", "INSERT INTO numbers SELECT 1, 'x'", "SET a=b", " ", "", "WITH a AS (SELECT 1 AS x) INSERT INTO tgt SELECT * FROM a", "FROM numbers INSERT INTO tgt SELECT id INSERT INTO tgt SELECT id",
+        "SELECT reflect('java.lang.System', 'lineSeparator')", "SELECT 1 WHERE EXISTS (SELECT java_method('java.util.UUID', 'randomUUID'))", "SELECT TRANSFORM(id) USING 'cat' FROM numbers",
+    ):
         assert g.query(sql).status == "refused", sql
+    assert g.query("SELECT count(*) FROM tgt").rows == [["0"]]
+    w = g.write("WITH a AS (SELECT 1 AS x UNION ALL SELECT 2) INSERT INTO tgt SELECT * FROM a")
+    assert (w.status, w.rows_affected) == ("ok", 2) and g.write("SELECT 1").status == "refused" and g.query("SELECT count(*) FROM tgt WHERE x IN (SELECT id FROM numbers)").rows == [["2"]]
+    spark.sql("DROP TABLE tgt")
+    assert g.query("SELECT 1 AS a, 2 AS a").rows == [["1", "2"]]
     assert g.query("SELECT nothing FROM nowhere").status == "failed" and g.query("SELECT 1", source="unknown").status == "refused"
     assert gateway.judge_read(True, 0)[0] and not gateway.judge_read(False, -1)[0] and "3 rows" in gateway.judge_read(True, 3)[1]
     assert gateway.row_cap(500) == 500 and gateway.row_cap(500, 9999) == 5000 and gateway.row_cap(0) == 1 and gateway.row_cap(500, -1) == 500
     assert gateway.Result("ok").markdown() == "(no columns)"
 
 
+def test_gateway_of_a_database(spark):
+    text = '{"provider": "%s", "connectionString": "jdbc:derby:memory:stock%s", "query": {"maxRows": 2%s}}'
+    g = gateway.Gateway(spark)
+    for name, provider, end, more in (("open", "derby", ";create=true", ', "allowWrites": true'), ("closed", "derby", "", ""), ("odd", "cobol", "", ""), ("unset", "derby", "${NOT_SET}", "")):
+        g.register_source(gateway.Descriptor.parse(text % (provider, end, more), name))
+    assert g.query("CREATE TABLE item (n INT, t VARCHAR(9))", source="open").rows_affected == 0
+    assert g.query("INSERT INTO item VALUES (1, 'a'), (2, NULL), (3, 'c')", source="OPEN").rows_affected == 3
+    r = g.query("SELECT n, t FROM item ORDER BY n", source="closed")
+    assert (r.status, r.columns, r.rows, r.truncated) == ("ok", ["N", "T"], [["1", "a"], ["2", None]], True)
+    assert "3 rows" in g.query("DELETE FROM item", source="closed").message and g.query("DROP TABLE item", source="closed").status == "refused"
+    assert g.query("SELECT count(*) FROM item", source="closed").rows == [["3"]]
+    assert g.query("SELECT 1 FROM nowhere", source="closed").status == "failed" and g.query("SELECT 1", source="odd").status == "refused" and "NOT_SET" in g.query("SELECT 1", source="unset").message
+    assert dict(g.listed()) == {"open": "read-write", "closed": "read-only", "odd": "read-only", "unset": "read-only"}
+
+
+def test_live_schema(spark):
+    c = spark.createDataFrame([("lend", "shelf", "code", 1, "char", "NO"), ("lend", "shelf", "floor", 2, "int", "YES"), ("lend", "loan", "no", 1, "int", "NO"), ("lend", "loan", "at", 2, "char", "YES"), ("lend", "v", "no", 1, "int", "YES"), ("pg_catalog", "x", "y", 1, "int", "NO")], "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string")
+    keys = spark.createDataFrame([("lend", "shelf", "code")], "table_schema string, table_name string, column_name string")
+    fk = spark.createDataFrame([("lend", "loan", "at", "f", 2, "lend", "shelf", "floor"), ("lend", "loan", "no", "f", 1, "lend", "shelf", "code")], "table_schema string, table_name string, column_name string, constraint_name string, ordinal_position int, ref_schema string, ref_table string, ref_column string")
+    views = spark.createDataFrame([("lend", "v", "SELECT no FROM loan")], "table_schema string, table_name string, view_definition string")
+    notes = spark.createDataFrame([("lend", "shelf", None, "Where books stand."), ("lend", "shelf", "floor", "from the ground")], "table_schema string, table_name string, column_name string, remark string")
+    md = {r.table_name: r.markdown for r in gateway.live_schema({"columns": c, "keys": keys, "foreign": fk, "views": views, "comments": notes}).collect()}
+    assert set(md) == {"lend.shelf", "lend.loan", "lend.v"} and md["lend.v"] == "## View: lend.v\n\n- no int\n\n```sql\nSELECT no FROM loan\n```"
+    assert md["lend.shelf"] == "## Table: lend.shelf\n\nWhere books stand.\n\n- code char — PK, NOT NULL\n- floor int — from the ground\n\nReferenced by: lend.loan (no, at)"
+    assert "- no int — NOT NULL, FK → shelf(code)" in md["lend.loan"]
+    assert [r.from_columns for r in gateway.composite_keys(fk).collect()] == ["no, at"]
+
+
 def test_descriptor():
     d = gateway.Descriptor.parse('{"Provider": "Postgres", // which\n "connectionString": "jdbc:postgresql://h/${DB}", "query": {"maxRows": 50, "timeoutSeconds": 3,}, }', "main")
     assert d.queryable and not d.allow_writes and (d.max_rows, d.timeout) == (50, 3) and d.jdbc_options({"DB": "x"})["url"].endswith("/x")
