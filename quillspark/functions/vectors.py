@@ -46,3 +46,22 @@ def matrix(values, width: int | None = None) -> np.ndarray:
 def unit_rows(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def best_by_id(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column): each row's ``k`` largest values, of equal ones those of the first columns. Order columns by id for the smaller id to win.
+
+    Values are compared to twelve places, so that products of equal vectors are equal. Minus infinity is never picked.
+    """
+    s = np.round(s, 12)
+    m = min(k, s.shape[1])
+    if not m or not len(s):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m, None]
+    take = (s >= least) & np.isfinite(s)
+    tied = np.flatnonzero(take.sum(axis=1) > m)
+    if len(tied):
+        t, edge = s[tied], least[tied]
+        over, even = t > edge, t == edge
+        take[tied] = over | even & (np.cumsum(even, axis=1) <= m - over.sum(axis=1, keepdims=True))
+    return np.nonzero(take)

@@ -34,7 +34,11 @@ def term_counts(df: DataFrame, id_col: str, field: str) -> DataFrame:
 
 
 def document_frequency(df: DataFrame, id_col: str, field: str) -> DataFrame:
-    return term_counts(df, id_col, field).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """(term, df, cf): rows and occurrences of each term. Rows and uses are summed before the shuffle, and no row's id is shuffled."""
+    d = df.select(tokens(F.col(field)).alias("_t"))
+    entry = lambda n: lambda t: F.struct(t.alias("term"), F.lit(n).alias("row"), F.lit(1 - n).alias("use"))
+    each = d.select(F.explode(F.concat(F.transform(F.array_distinct("_t"), entry(1)), F.transform("_t", entry(0)))).alias("e"))
+    return each.groupBy("e.term").agg(F.sum("e.row").alias("df"), F.sum("e.use").alias("cf"))
 
 
 def postings(df: DataFrame, id_col: str, fields: list[str], query: str) -> DataFrame:
@@ -135,11 +139,10 @@ def nearest_blocks(base: DataFrame, queries: DataFrame, k: int, id_col: str = "i
                 x = np.frombuffer(b.column("b_v")[r].as_py()).reshape(len(bi), -1)
                 s = q @ x.T
                 s[qi[:, None] == bi[None, :]] = -np.inf
-                m = min(k + 8, len(bi))
-                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                got = np.take_along_axis(s, at, 1)
-                keep = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, m)[keep.ravel()]), pa.array(bi[at][keep]), pa.array(1 / (3 - 2 * got[keep]))], ["query_id", "id", "score"])
+                order = np.argsort(bi, kind="stable")  # of equal scores the smaller ids stay
+                at, c = vx.best_by_id(s[:, order], k)
+                c = order[c]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(bi[c]), pa.array(1 / (3 - 2 * np.round(s[at, c], 12)))], ["query_id", "id", "score"])
 
     pairs = blocks(queries, "q").crossJoin(blocks(base, "b"))  # blocks of rows against blocks of rows
     found = pairs.mapInArrow(multiply, "query_id long, id long, score double")

@@ -8,6 +8,7 @@ itself knows no host, and tests give it a dictionary.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,7 +68,7 @@ def fetch(spark: SparkSession, name: str, keys: list[str], path: str = "{key}")
 
 
 def paged(transport: Transport, path: str, items: str, cursor: Callable[[dict], str | None], most: int, requests: int = 500) -> list[dict]:
-    """Items of a listing that continues by a cursor: at most ``most``, and at most ``requests`` calls. A cursor seen before ends it."""
+    """Items of a listing that continues by a cursor: at most ``most``. A cursor seen before ends it; a listing that goes on after ``requests`` calls ends there with a warning."""
     out: list[dict] = []
     seen: set[str] = set()
     nxt: str | None = path
@@ -79,6 +80,8 @@ def paged(transport: Transport, path: str, items: str, cursor: Callable[[dict],
         page = json.loads(body)
         out += page.get(items) or []
         nxt = cursor(page)
+    if nxt and nxt not in seen and len(out) < most:
+        warnings.warn(f"{path}: the listing goes on after {requests} calls", stacklevel=2)
     return out[:most]
 
 

@@ -156,3 +156,15 @@ def test_neighbours_in_a_dense_region(spark, monkeypatch):
     assert len(want) > 5000 and found() == want
     monkeypatch.setattr(neighbours, "WHOLE", 0)
     assert len(found() & want) / len(want) > 0.95
+
+
+def test_equal_vectors_go_by_id(spark, monkeypatch):
+    from quillspark.operators import neighbours
+    from quillspark.operators import retrieval as rt
+
+    d = spark.createDataFrame([(i, "p", str(i), [0.3, 0.7, 0.1]) for i in range(300)], "id long, g string, a string, v array<double>").repartition(3, "id")
+    monkeypatch.setattr(neighbours, "SLICE", 100)
+    got = neighbours.top_neighbours(d, "id", "v", "g", "a", 3, 0.8).filter("id = 150").collect()
+    assert sorted(r.other_id for r in got) == [0, 1, 2]
+    got = rt.nearest_blocks(d, d.filter("id = 150"), 5, block=64).collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 3, 4]
