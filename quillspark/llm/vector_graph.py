@@ -4,17 +4,16 @@ Equal vectors form a class and only one of them is indexed; a class keeps the id
 Class vectors are routed to shards by centroids (fitted on a bounded sample; every vector is assigned). In each shard
 a directed graph is built in rounds that double the number of points: a greedy beam search over the graph so far
 proposes neighbours, and robust pruning keeps an edge only if no kept neighbour is much nearer to its end (relaxed by
-ALPHA); reverse edges are added and pruned alike. What the searches propose are the neighbours within a shard (a pair is proposed
-when its later point is added). Every class vector is also a query to other shards, by beam search: its PROBES nearest ones and
-all that are hardly farther than the nearest (MARGIN); what it finds is compared again by the exact cosine in double precision, and counts for
-both vectors of the pair.
-
-Cells whose centroids lie nearer to each other than their own vectors do (NEAR) don't separate neighbours: they are one shard.
-A shard over SHARD_MAX vectors (a dense region that holds a large part of all) is cut into sub-shards by a hash, each
-with its own graph, and its queries search all of them, at most SLICE in a task. Each graph is tried on TRIED of its own vectors:
-where it misses more than 1 - TRUST of their exact neighbours (vectors about evenly spread in a dense region), the whole part is searched
-by matrix products instead. Copies never enter one task: lists of ids are limited
-before the shuffle.
+ALPHA); reverse edges are added and pruned alike. Then every class vector queries, by beam search in the finished graphs, its own shard, its
+PROBES nearest ones and all that are hardly farther than the nearest (MARGIN). What it finds, and what the build's searches proposed, is compared again by
+the exact cosine in double precision, and counts for both vectors of the pair.
+
+Shards come from centroids of two levels: of the sample of all, and within each first-level shard over SHARD_MAX of a sample of that shard, so that their
+number grows with the data; the second level is fitted and applied by tasks, never on the driver. Cells whose centroids lie nearer to each other than their own
+vectors do (NEAR) don't separate neighbours: they are one shard. What is still over SHARD_MAX then (a dense region) is cut into parts by a hash, each
+with its own graph, and its queries search all of them. A task's group holds at most SLICE visitors, and the number of partitions follows the rows. Each graph
+is tried on TRIED of its own vectors: where it misses more than 1 - TRUST of their exact neighbours (vectors about evenly spread in a dense region), the whole part
+is searched by matrix products instead. Copies never enter one task: lists of ids are limited before the shuffle.
 
 Defined results: null vectors and vectors that are empty, of another length than most, zero or not finite take no part. Repeated rows do:
 each row of a class is a neighbour of the others. Of equal similarities the smaller id comes first.
@@ -26,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import materialize
 
 #: Edges of a node, width of a beam, nodes a beam expands at once, relaxation of pruning (on squared distances).
 DEGREE, BEAM, EXPAND, ALPHA = 20, 40, 4, 1.2
-#: Vectors a shard should hold, at most holds, the sample the centroids are fitted on, and the shards a query searches.
-SHARD, SHARD_MAX, SAMPLE, PROBES = 2000, 40_000, 20_000, 3
-#: Cells are one shard where their centroids' distance is at most this share of the smaller radius; shards up to so much farther than the nearest are visited; visitors of a task.
-NEAR, MARGIN, SLICE = 0.75, 0.1, 100_000
+#: Vectors a shard should hold, at most holds, the sample each level's centroids are fitted on, and the shards a query searches.
+SHARD, SHARD_MAX, SAMPLE, PROBES = 5000, 40_000, 20_000, 2
+#: Cells are one shard where their centroids' distance is at most this share of the smaller radius; shards up to so much farther than the nearest are visited.
+NEAR, MARGIN = 0.75, 0.1
+#: Visitors of a group, routed rows of a partition, and shard sizes that may be sent to every task.
+SLICE, ROWS, FEW = 100_000, 20_000, 100_000
 #: Vectors a graph is tried on, and the share of their neighbours it must find.
 TRIED, TRUST = 128, 0.98
 _BATCH = 256
@@ -182,6 +183,7 @@ def search_whole(x: np.ndarray, q: np.ndarray, k: int, least: float) -> tuple[np
 def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, neighbour ids, cosines) within one shard: up to ``k`` for each query, at ``least`` or more."""
     base = np.flatnonzero(is_base)
+    base = base[np.argsort(ids[base], kind="stable")]
     none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     if not len(base) or not is_query.any():
         return none
@@ -194,43 +196,57 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_q
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
         cos = np.einsum("ij,ij->i", exact[a], exact[b]) / (norms[a] * norms[b])
-        keep = cos >= least
+        keep = (a != b) & (cos >= least)
         out.append((ids[a[keep]], ids[b[keep]], cos[keep]))
 
-    # a point of the graph has its proposals, and those that name it
     close = (one != other) & (np.einsum("ij,ij->i", x[one], x[other]) >= least - 1e-4)
     pairs = np.unique(np.stack([np.minimum(one, other)[close], np.maximum(one, other)[close]], axis=1), axis=0)
-    # the graph is tried: what its proposals hold of the exact neighbours of some of its points
-    tried = np.unique(np.linspace(0, len(base) - 1, min(TRIED, len(base))).astype(np.int64))
-    r, c = search_whole(x, x[tried], k + 1, least)
-    a, b = tried[r[tried[r] != c]], c[tried[r] != c]
-    known = np.isin(np.minimum(a, b) * len(base) + np.maximum(a, b), pairs[:, 0].astype(np.int64) * len(base) + pairs[:, 1])
-    whole = len(a) > 0 and known.mean() < TRUST
-    for i in range(0, 0 if whole else len(pairs), 1 << 18):
-        a, b = base[pairs[i : i + (1 << 18)].T]
-        compare(a, b)
-        compare(b, a)
-    queries = np.flatnonzero(is_query if whole else is_query & ~is_base)
-    for i in range(0, len(queries), _BATCH):
-        q = queries[i : i + _BATCH]
-        if whole:  # one more for the query itself, some more for ties
-            r, c = search_whole(x, unit[q], k + 4, least - 1e-4)
-            other = q[r] != base[c]
-            compare(q[r[other]], base[c[other]])
-            continue
-        found, sims = beam_search(x, graph, entry, unit[q], BEAM)
-        r, c = np.nonzero((found >= 0) & (sims >= least - 1e-4))
-        compare(q[r], base[found[r, c]])
+    queries = np.flatnonzero(is_query)
+    if _finds(x, graph, entry, pairs, k, least):
+        for i in range(0, len(pairs), 1 << 18):
+            a, b = base[pairs[i : i + (1 << 18)].T]
+            compare(a, b)
+            compare(b, a)
+        for i in range(0, len(queries), _BATCH):
+            q = queries[i : i + _BATCH]
+            found, sims = beam_search(x, graph, entry, unit[q], BEAM)
+            r, c = np.nonzero((found >= 0) & (sims >= least - 1e-4))
+            compare(q[r], base[found[r, c]])
+    else:
+        for i in range(0, len(queries), _BATCH):
+            q = queries[i : i + _BATCH]
+            r, c = search_whole(x, unit[q], k + 4, least - 1e-4)  # one more for the query itself, some more for rounding
+            compare(q[r], base[c])
     a, b, cos = (np.concatenate(z) for z in zip(*out))
     order = np.lexsort((b, -cos, a))
     a, b, cos = a[order], b[order], cos[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, cos = a[new], b[new], cos[new]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
     return a[rank < k], b[rank < k], cos[rank < k]
 
 
+def _finds(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, pairs: np.ndarray, k: int, least: float) -> bool:
+    """Whether the graph finds, or its build proposed, TRUST of the exact neighbours of some of its points."""
+    n = len(x)
+    tried = np.unique(np.linspace(0, n - 1, min(TRIED, n)).astype(np.int64))
+    r, c = search_whole(x, x[tried], k + 1, least)
+    a, b = tried[r[tried[r] != c]], c[tried[r] != c]
+    if not len(a):
+        return True
+    found, _ = beam_search(x, graph, entry, x[tried], BEAM)
+    r, c = np.nonzero(found >= 0)
+    p, q = tried[r], found[r, c]
+    key = lambda u, v: np.minimum(u, v) * n + np.maximum(u, v)
+    known = np.union1d(key(p, q), key(pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)))
+    return bool(np.isin(key(a, b), known).mean() >= TRUST)
+
+
 def fit_centroids(sample: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
+    """``k`` centroids of length one; they depend on the order of the sample, so give it in an order of its own."""
     x = _unit(sample)
-    c = x[:k].copy()
+    c = x[:: max(1, len(x) // k)][:k].copy()
     for _ in range(steps):
         a = (x @ c.T).argmax(1)
         total = np.zeros_like(c)
@@ -283,6 +299,69 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return d.filter((norm > 0) & (norm < float("inf")) & ~F.isnan(norm))
 
 
+def _share(rows: Column, of: Column | int) -> Column:
+    """Whether a row is in the sample of about SAMPLE rows, by a hash of its id."""
+    return F.pmod(F.xxhash64(rows), F.lit(1_000_000)) < F.greatest(F.lit(1), F.floor(F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(float(SAMPLE)) / of)))
+
+
+def _fit(sample: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids for ``n`` vectors and the shard of each; at most one for 16 rows of a full sample."""
+    k = max(1, min(-(-n // SHARD), SAMPLE // 16, len(sample)))
+    centroids = fit_centroids(sample, k)
+    return centroids, merge_cells(sample, centroids)
+
+
+def _visit(b: pa.RecordBatch | pa.Table, centroids: np.ndarray, shard: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    row, to, home = visits(_unit(_matrix(b.column("v"))), centroids, shard, min(PROBES, int(shard.max()) + 1))
+    return pa.array(row), to.astype(np.int32), home
+
+
+def _shards(reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The vectors in the shards they visit (shard, sub, home, id, v), the sizes of the shards (shard, sub, parts, slices), and the number of visits."""
+    spark = reps.sparkSession
+    n = reps.count()
+    picked = sorted(reps.filter(_share(F.col("id"), F.lit(max(1, n)))).collect())  # about SAMPLE rows
+    centroids, shard = _fit(np.array([r.v for r in picked], dtype=np.float32), n) if picked else (np.ones((1, 1), np.float32), np.zeros(1, int))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at, to, home = _visit(b, centroids, shard)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(home), b.column("id").take(at), b.column("v").take(at)], ["shard", "home", "id", "v"])
+
+    first = materialize(reps.mapInArrow(route, "shard int, home boolean, id long, v array<float>"), "vector-routes")
+    own = first.groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("visitors")).collect()  # at most SAMPLE / 16 rows
+    large = [r for r in own if r.own > SHARD_MAX]
+    routed = first.withColumn("sub", F.lit(0))
+    if large:
+        few = F.broadcast(spark.createDataFrame([(r.shard, r.own, -(-r.visitors // SLICE)) for r in large], "shard int, own long, salts int"))
+        inside = first.join(few, "shard")
+        sample = inside.filter(F.col("home") & _share(F.col("id"), F.col("own"))).select("shard", "own", "id", "v")
+
+        def fit(t: pa.Table) -> pa.Table:
+            t = t.sort_by("id")
+            c, sub = _fit(_matrix(t["v"]), t["own"][0].as_py())
+            return pa.table({"shard": pa.array([t["shard"][0].as_py()] * len(c), pa.int32()), "sub": pa.array(sub, pa.int32()), "centroid": pa.array(list(c), pa.list_(pa.float32()))})
+
+        fitted = materialize(sample.groupBy("shard").applyInArrow(fit, "shard int, sub int, centroid array<float>"), "vector-centroids")
+        salted = fitted.join(few, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "sub", "centroid")
+        visitors = inside.select("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.col("salts")).cast("int").alias("salt"), "home", "id", "v")
+
+        def place(rows: pa.Table, cells: pa.Table) -> pa.Table:
+            if rows.num_rows and cells.num_rows:
+                at, to, home = _visit(rows, _matrix(cells["centroid"]), np.asarray(cells["sub"]))
+                rows = rows.take(at)
+                return pa.table({"shard": rows["shard"], "home": pa.array(home & np.asarray(rows["home"])), "id": rows["id"], "v": rows["v"], "sub": pa.array(to)})
+            return pa.table({"shard": pa.array([], pa.int32()), "home": pa.array([], pa.bool_()), "id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32())), "sub": pa.array([], pa.int32())})
+
+        second = visitors.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInArrow(place, "shard int, home boolean, id long, v array<float>, sub int")
+        rest = routed.join(few.select("shard"), "shard", "left_anti")
+        routed = rest.unionByName(materialize(second, "vector-routes"))
+    sizes = materialize(routed.groupBy("shard", "sub").agg(F.ceil(F.count_if("home") / SHARD_MAX).cast("int").alias("parts"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.count("*").alias("rows")).filter("parts > 0"), "vector-sizes")
+    shards, total = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") * F.col("parts")), F.lit(0))).first()
+    return routed, F.broadcast(sizes) if shards <= FEW else sizes, total
+
+
 def nearest(df: DataFrame, k: int = 5, least: float = -1.0, id_col: str = "chunk_id", vector_col: str = "content_vector") -> DataFrame:
     """(id, neighbor_id, similarity): up to ``k`` nearest others of every row, those of similarity ``least`` or more."""
     spark = df.sparkSession
@@ -292,38 +371,21 @@ def nearest(df: DataFrame, k: int = 5, least: float = -1.0, id_col: str = "chunk
     classes = materialize(least_ids.groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "vector-classes")
     reps = materialize(rows.select("id", "v").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "vector-reps")
 
-    n = reps.count()
-    shards = max(1, min(-(-n // SHARD), SAMPLE // 16))
-    # about SAMPLE vectors by a hash of the id; the limit only bounds the chance excess
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / max(1, n))))
-    sample = np.array([r.v for r in reps.filter(part).limit(2 * SAMPLE).collect()], dtype=np.float32)
-    centroids = fit_centroids(sample, min(shards, max(1, len(sample)))) if len(sample) else np.ones((1, 1), np.float32)
-    shard = merge_cells(sample, centroids) if len(sample) else np.zeros(1, int)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            row, to, home = visits(_unit(_matrix(b.column("v"))), centroids, shard)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(home), b.column("id").take(at), b.column("v").take(at)], ["shard", "home", "id", "v"])
-
-    routed = materialize(reps.mapInArrow(route, "shard int, home boolean, id long, v array<float>"), "vector-routes")
-    sizes = routed.groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("visitors")).collect()  # at most SAMPLE / 16 rows
-    parts = spark.createDataFrame([(r.shard, max(1, -(-r.own // SHARD_MAX)), -(-r.visitors // SLICE)) for r in sizes] or [(0, 1, 1)], "shard int, parts int, slices int")
-    placed = routed.join(F.broadcast(parts), "shard").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = placed.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", "id", "v", "_own", "slices").withColumn("base", F.col("home") & (F.col("part") == F.col("_own")))
-    # a part's own vectors are in all of its slices, a visitor in one
-    of = F.pmod(F.xxhash64("id", F.lit(3)), F.col("slices")).cast("int")
-    placed = placed.withColumn("slice", F.explode(F.when(F.col("base"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(of))))
+    routed, sizes, total = _shards(reps)
+    placed = routed.join(sizes, ["shard", "sub"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.select("shard", "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "home", "id", "v", "_own", "slices").withColumn("base", F.col("home") & (F.col("part") == F.col("_own")))
+    # a part's own vectors are in all of its slices and ask in one of them; so does a visitor
+    placed = placed.withColumn("_of", F.pmod(F.xxhash64("id", F.lit(3)), F.col("slices")).cast("int"))
+    placed = placed.withColumn("slice", F.explode(F.when(F.col("base"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("_of")))).withColumn("asks", F.col("slice") == F.col("_of"))
+    group = ["shard", "sub", "part", "slice"]
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // ROWS))
 
     def search(table: pa.Table) -> pa.Table:
         t = table
-        ids = np.asarray(t["id"])
-        a, b, cos = search_shard(ids, _matrix(t["v"]), np.asarray(t["base"]), np.ones(len(ids), dtype=bool), 2 * k, least)
+        a, b, cos = search_shard(np.asarray(t["id"]), _matrix(t["v"]), np.asarray(t["base"]), np.asarray(t["asks"]), 2 * k, least)
         return pa.table({"rep": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(cos, pa.float64())})
 
-    found = placed.select("shard", "part", "slice", "base", "id", "v").groupBy("shard", "part", "slice").applyInArrow(search, "rep long, other long, similarity double")
+    found = placed.select(*group, "base", "asks", "id", "v").repartition(tasks, *group).groupBy(group).applyInArrow(search, "rep long, other long, similarity double")
     # what one side's search found counts for the other side too, so that a pair has two chances
     found = found.unionByName(found.select(F.col("other").alias("rep"), F.col("rep").alias("other"), "similarity")).distinct()
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")

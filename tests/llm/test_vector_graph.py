@@ -69,6 +69,19 @@ def test_a_dense_region_over_many_shards(spark, monkeypatch):
     assert len(dense) > 5000 and len(got & dense) / len(dense) > 0.97 and len(got & want) / len(want) > 0.97
 
 
+def test_a_second_level_of_centroids(spark, monkeypatch):
+    for name, value in (("SHARD", 20), ("SHARD_MAX", 60), ("SAMPLE", 640), ("SLICE", 100)):  # forty first-level shards at most
+        monkeypatch.setattr(vg, name, value)
+    x = clustered(2400, 9, 48)
+    d = spark.createDataFrame([(i, [float(v) for v in x[i]], "", "", "", "") for i in range(len(x))], SCHEMA)
+    routed, sizes, total = vg._shards(d.select(d.chunk_id.alias("id"), d.content_vector.alias("v")))
+    assert sizes.filter("sub > 0").count() > 3 and routed.filter("home").select("id").distinct().count() == routed.filter("home").count() == len(x) and total >= len(x)
+    want = brute(list(range(len(x))), x, 5, 0.85)
+    one = {(r.chunk_id, r.neighbor_id) for r in vg.nearest(d, 5, 0.85).collect()}
+    assert len(one & want) / len(want) > 0.95
+    assert one == {(r.chunk_id, r.neighbor_id) for r in vg.nearest(d.repartition(7), 5, 0.85).collect()}
+
+
 def test_empty_and_single(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0], "", "", "", "")], SCHEMA)
     assert vg.nearest(d, 5).count() == 0 and vg.nearest(d.limit(0), 5).count() == 0
