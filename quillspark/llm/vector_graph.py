@@ -308,7 +308,7 @@ def _fit(sample: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Centroids for ``n`` vectors and the shard of each; at most one for 16 rows of a full sample."""
     k = max(1, min(-(-n // SHARD), SAMPLE // 16, len(sample)))
     centroids = fit_centroids(sample, k)
-    return centroids, merge_cells(sample, centroids)
+    return centroids, merge_cells(sample, centroids, NEAR)
 
 
 def _visit(b: pa.RecordBatch | pa.Table, centroids: np.ndarray, shard: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:

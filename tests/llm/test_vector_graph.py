@@ -70,7 +70,7 @@ def test_a_dense_region_over_many_shards(spark, monkeypatch):
 
 
 def test_a_second_level_of_centroids(spark, monkeypatch):
-    for name, value in (("SHARD", 20), ("SHARD_MAX", 60), ("SAMPLE", 640), ("SLICE", 100)):  # forty first-level shards at most
+    for name, value in (("SHARD", 20), ("SHARD_MAX", 60), ("SAMPLE", 640), ("SLICE", 100), ("NEAR", 0.0)):  # forty first-level shards at most
         monkeypatch.setattr(vg, name, value)
     x = clustered(2400, 9, 48)
     d = spark.createDataFrame([(i, [float(v) for v in x[i]], "", "", "", "") for i in range(len(x))], SCHEMA)
