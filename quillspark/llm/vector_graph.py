@@ -4,7 +4,7 @@ Equal vectors form a class and only one of them is indexed; a class keeps the id
 Class vectors are routed to shards by centroids (fitted on a bounded sample; every vector is assigned). In each shard
 a directed graph is built in rounds that double the number of points: a greedy beam search over the graph so far
 proposes neighbours, and robust pruning keeps an edge only if no kept neighbour is much nearer to its end (relaxed by
-ALPHA); reverse edges are added and pruned alike. Then every class vector queries, by beam search in the finished graphs, its own shard, its
+ALPHA); reverse edges are added, and a list that overflows is pruned alike. Then every class vector queries, by beam search in the finished graphs, its own shard, its
 PROBES nearest ones and all that are hardly farther than the nearest (MARGIN). What it finds, and what the build's searches proposed, is compared again by
 the exact cosine in double precision, and counts for both vectors of the pair.
 
@@ -33,7 +33,7 @@ from quillspark.session import materialize
 #: Edges of a node, width of a beam, nodes a beam expands at once, relaxation of pruning (on squared distances).
 DEGREE, BEAM, EXPAND, ALPHA = 20, 40, 4, 1.2
 #: Vectors a shard should hold, at most holds, the sample each level's centroids are fitted on, and the shards a query searches.
-SHARD, SHARD_MAX, SAMPLE, PROBES = 5000, 40_000, 20_000, 2
+SHARD, SHARD_MAX, SAMPLE, PROBES = 5000, 40_000, 20_000, 1
 #: Cells are one shard where their centroids' distance is at most this share of the smaller radius; shards up to so much farther than the nearest are visited.
 NEAR, MARGIN = 0.75, 0.1
 #: Visitors of a group, routed rows of a partition, and shard sizes that may be sent to every task.
@@ -162,7 +162,12 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
         to, sources = _reverse(graph, p, n)
         for i in range(0, len(to), _BATCH):
             t = to[i : i + _BATCH]
-            near = np.concatenate([graph[t], sources[i : i + _BATCH]], axis=1)
+            near = np.sort(np.concatenate([graph[t], sources[i : i + _BATCH]], axis=1), axis=1)  # n marks none and comes last
+            fits = (near != n).sum(axis=1) <= degree  # a list is pruned only where it overflows
+            graph[t[fits]] = near[fits, :degree]
+            t, near = t[~fits], near[~fits]
+            if not len(t):
+                continue
             if near.shape[1] > 4 * degree:  # many points chose one hub: prune to the nearest first, in slices
                 for j in range(degree, near.shape[1], 2 * degree):
                     graph[t] = robust_prune(x, t, np.concatenate([graph[t], near[:, j : j + 2 * degree]], axis=1), degree, alpha)
@@ -304,11 +309,11 @@ def _share(rows: Column, of: Column | int) -> Column:
     return F.pmod(F.xxhash64(rows), F.lit(1_000_000)) < F.greatest(F.lit(1), F.floor(F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(float(SAMPLE)) / of)))
 
 
-def _fit(sample: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids for ``n`` vectors and the shard of each; at most one for 16 rows of a full sample."""
-    k = max(1, min(-(-n // SHARD), SAMPLE // 16, len(sample)))
+def _fit(sample: np.ndarray, n: int, size: int, most: int, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids for ``n`` vectors, one for ``size`` of them but at most one for 16 rows of a full sample (``most``), and the shard of each."""
+    k = max(1, min(-(-n // size), most // 16, len(sample)))
     centroids = fit_centroids(sample, k)
-    return centroids, merge_cells(sample, centroids, NEAR)
+    return centroids, merge_cells(sample, centroids, near)
 
 
 def _visit(b: pa.RecordBatch | pa.Table, centroids: np.ndarray, shard: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -319,9 +324,10 @@ def _visit(b: pa.RecordBatch | pa.Table, centroids: np.ndarray, shard: np.ndarra
 def _shards(reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The vectors in the shards they visit (shard, sub, home, id, v), the sizes of the shards (shard, sub, parts, slices), and the number of visits."""
     spark = reps.sparkSession
+    sizes = (SHARD, SAMPLE, NEAR)  # as they are here, for the tasks
     n = reps.count()
     picked = sorted(reps.filter(_share(F.col("id"), F.lit(max(1, n)))).collect())  # about SAMPLE rows
-    centroids, shard = _fit(np.array([r.v for r in picked], dtype=np.float32), n) if picked else (np.ones((1, 1), np.float32), np.zeros(1, int))
+    centroids, shard = _fit(np.array([r.v for r in picked], dtype=np.float32), n, *sizes) if picked else (np.ones((1, 1), np.float32), np.zeros(1, int))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -340,7 +346,7 @@ def _shards(reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
         def fit(t: pa.Table) -> pa.Table:
             t = t.sort_by("id")
-            c, sub = _fit(_matrix(t["v"]), t["own"][0].as_py())
+            c, sub = _fit(_matrix(t["v"]), t["own"][0].as_py(), *sizes)
             return pa.table({"shard": pa.array([t["shard"][0].as_py()] * len(c), pa.int32()), "sub": pa.array(sub, pa.int32()), "centroid": pa.array(list(c), pa.list_(pa.float32()))})
 
         fitted = materialize(sample.groupBy("shard").applyInArrow(fit, "shard int, sub int, centroid array<float>"), "vector-centroids")

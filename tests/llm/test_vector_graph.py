@@ -70,9 +70,9 @@ def test_a_dense_region_over_many_shards(spark, monkeypatch):
 
 
 def test_a_second_level_of_centroids(spark, monkeypatch):
-    for name, value in (("SHARD", 20), ("SHARD_MAX", 60), ("SAMPLE", 640), ("SLICE", 100), ("NEAR", 0.0)):  # forty first-level shards at most
+    for name, value in (("SHARD", 20), ("SHARD_MAX", 60), ("SAMPLE", 320), ("SLICE", 100), ("NEAR", 0.0)):  # twenty first-level shards at most
         monkeypatch.setattr(vg, name, value)
-    x = clustered(2400, 9, 48)
+    x = np.concatenate([clustered(1600, 9, 48), np.ones(48) + 0.4 * clustered(800, 10, 48)]).astype(np.float32)  # a third lies close together
     d = spark.createDataFrame([(i, [float(v) for v in x[i]], "", "", "", "") for i in range(len(x))], SCHEMA)
     routed, sizes, total = vg._shards(d.select(d.chunk_id.alias("id"), d.content_vector.alias("v")))
     assert sizes.filter("sub > 0").count() > 3 and routed.filter("home").select("id").distinct().count() == routed.filter("home").count() == len(x) and total >= len(x)
