@@ -4,7 +4,7 @@ Equal vectors form a class and only one of them is indexed; a class keeps the id
 Class vectors are routed to shards by centroids (fitted on a bounded sample; every vector is assigned). In each shard
 a directed graph is built in rounds that double the number of points: a greedy beam search over the graph so far
 proposes neighbours, and robust pruning keeps an edge only if no kept neighbour is much nearer to its end (relaxed by
-ALPHA); reverse edges are added, and a list that overflows is pruned alike. Then every class vector queries, by beam search in the finished graphs, its own shard, its
+ALPHA); reverse edges are added and pruned alike. Then every class vector queries, by beam search in the finished graphs, its own shard, its
 PROBES nearest ones and all that are hardly farther than the nearest (MARGIN). What it finds, and what the build's searches proposed, is compared again by
 the exact cosine in double precision, and counts for both vectors of the pair.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import materialize
 
-#: Edges of a node, width of a beam, nodes a beam expands at once, relaxation of pruning (on squared distances).
-DEGREE, BEAM, EXPAND, ALPHA = 20, 40, 4, 1.2
+#: Edges of a node, width of a beam while the graph grows and of a query's, nodes a beam expands at once, relaxation of pruning (on squared distances).
+DEGREE, BEAM, ASK, EXPAND, ALPHA = 20, 40, 28, 4, 1.2
 #: Vectors a shard should hold, at most holds, the sample each level's centroids are fitted on, and the shards a query searches.
 SHARD, SHARD_MAX, SAMPLE, PROBES = 5000, 40_000, 20_000, 1
 #: Cells are one shard where their centroids' distance is at most this share of the smaller radius; shards up to so much farther than the nearest are visited.
@@ -162,12 +162,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
         to, sources = _reverse(graph, p, n)
         for i in range(0, len(to), _BATCH):
             t = to[i : i + _BATCH]
-            near = np.sort(np.concatenate([graph[t], sources[i : i + _BATCH]], axis=1), axis=1)  # n marks none and comes last
-            fits = (near != n).sum(axis=1) <= degree  # a list is pruned only where it overflows
-            graph[t[fits]] = near[fits, :degree]
-            t, near = t[~fits], near[~fits]
-            if not len(t):
-                continue
+            near = np.concatenate([graph[t], sources[i : i + _BATCH]], axis=1)
             if near.shape[1] > 4 * degree:  # many points chose one hub: prune to the nearest first, in slices
                 for j in range(degree, near.shape[1], 2 * degree):
                     graph[t] = robust_prune(x, t, np.concatenate([graph[t], near[:, j : j + 2 * degree]], axis=1), degree, alpha)
@@ -214,7 +209,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_q
             compare(b, a)
         for i in range(0, len(queries), _BATCH):
             q = queries[i : i + _BATCH]
-            found, sims = beam_search(x, graph, entry, unit[q], BEAM)
+            found, sims = beam_search(x, graph, entry, unit[q], max(ASK, k))
             r, c = np.nonzero((found >= 0) & (sims >= least - 1e-4))
             compare(q[r], base[found[r, c]])
     else:
@@ -240,7 +235,7 @@ def _finds(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, pairs: np.ndarra
     a, b = tried[r[tried[r] != c]], c[tried[r] != c]
     if not len(a):
         return True
-    found, _ = beam_search(x, graph, entry, x[tried], BEAM)
+    found, _ = beam_search(x, graph, entry, x[tried], max(ASK, k))
     r, c = np.nonzero(found >= 0)
     p, q = tried[r], found[r, c]
     key = lambda u, v: np.minimum(u, v) * n + np.maximum(u, v)
