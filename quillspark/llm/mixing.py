@@ -6,7 +6,7 @@ breaks no source's repetition limit (and, where asked, at which the entropy of t
 wanted total, the total is the largest at which the targets hold exactly, so a = 0.
 
 A source's budget of tokens is met by whole passes over it and one partial pass: a permutation of its documents, in
-blocks by a hash of the id. Whole blocks are taken while they fit; only in the block where the budget ends are
+blocks by a hash of the id, as many as the root of their number. Whole blocks are taken while they fit; only in the block where the budget ends are
 documents ordered and summed one by one. Token sums per block are all that is ever gathered per source, so a source
 that holds a third of the corpus is never in one task.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.token_ids import encode_corpus
 from quillspark.session import materialize
 
-BLOCKS, SEED, MAX_SOURCES = 4096, 17, 100_000
+SEED, MAX_SOURCES = 17, 100_000
 
 
 def weights(targets: dict[str, float], tokens: dict[str, float], exponent: float) -> dict[str, float]:
@@ -78,26 +78,38 @@ def token_table(docs: DataFrame) -> DataFrame:
     return materialize(encode_corpus(docs, count_only=True, keep=("source",)).withColumnRenamed("n_tokens", "tokens"), "mix-tokens")
 
 
-def plan_mix(sized: DataFrame, mix_targets: DataFrame, total: float | None = None, target_entropy: float | None = None):
-    """The solved plan. Only one row per source reaches the driver, and their number is checked."""
+def plan_mix(sized: DataFrame, mix_targets: DataFrame, total: float | None = None, target_entropy: float | None = None, fill: float | None = None, leaning: float | None = None):
+    """The solved plan. Only one row per source reaches the driver, and their number is checked.
+
+    ``fill`` asks for a total of so many times the tokens of all sources with a target; ``leaning`` for an entropy between that of the target
+    shares (0) and that of the natural shares (1).
+    """
     t = mix_targets.filter("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    sums = sized.filter("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    sums = sized.filter("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     rows = t.join(sums, "source", "left").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError("too many sources in the targets")
     targets, tokens = {r.source: r.target_share for r in rows}, {r.source: float(r.tokens or 0) for r in rows}
     repeats = {r.source: max(1, r.max_repeats or 1) for r in rows}
+    own = {s: t for s, t in targets.items() if t and t > 0 and tokens[s] > 0}
+    if fill is not None:
+        total = fill * math.fsum(tokens[s] for s in own)
+    if leaning is not None and own:
+        norm = math.fsum(own.values())
+        ends = [entropy(weights({s: t / norm for s, t in own.items()}, {s: tokens[s] for s in own}, x)) for x in (0.0, 1.0)]
+        target_entropy = ends[0] + leaning * (ends[1] - ends[0])
     return rows, repeats, solve(targets, tokens, repeats, total, target_entropy)
 
 
-def draw(sized: DataFrame, rows: list, repeats: dict[str, int], size: float, w: dict[str, float], blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def draw(sized: DataFrame, rows: list, repeats: dict[str, int], size: float, w: dict[str, float], seed: int = SEED, blocks: int | None = None) -> DataFrame:
     """(doc_id, source, tokens, times): how often each document is used; those with none are left out."""
     spark = sized.sparkSession
     have = {r.source: int(r.tokens or 0) for r in rows}
     budget = {s: min(int(round(size * x)), have[s] * repeats[s]) for s, x in w.items()}
-    plan = spark.createDataFrame([(s, b // have[s], b % have[s]) for s, b in budget.items()], "source string, passes long, rest long")
-    d = sized.filter("tokens > 0").join(plan, "source").withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("_block", F.pmod("_h", F.lit(blocks)))
-    per_block = d.groupBy("source", "_block").agg(F.sum("tokens").alias("_block_tokens"))  # at most `blocks` rows for a source
+    docs = {r.source: int(r.docs or 0) for r in rows}
+    plan = spark.createDataFrame([(s, b // have[s], b % have[s], blocks or math.isqrt(docs[s]) + 1) for s, b in budget.items()], "source string, passes long, rest long, _blocks long")
+    d = sized.filter("tokens > 0").join(plan, "source").withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("_block", F.pmod("_h", "_blocks"))
+    per_block = d.groupBy("source", "_block").agg(F.sum("tokens").alias("_block_tokens"))  # the root of a source's documents at most
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_block.withColumn("_before", F.coalesce(F.sum("_block_tokens").over(before), F.lit(0)))
     d = d.join(placed, ["source", "_block"])
@@ -111,16 +123,17 @@ def draw(sized: DataFrame, rows: list, repeats: dict[str, int], size: float, w:
     return whole.select(cols).unionByName(part.select(cols)).filter("times > 0")
 
 
-def mix(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, target_entropy: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, mix_targets: DataFrame, **wanted: float) -> DataFrame:
+    """(doc_id, source, tokens, times): the draw; ``wanted`` as for plan_mix."""
     sized = token_table(docs)
-    rows, repeats, (_, size, w) = plan_mix(sized, mix_targets, total, target_entropy)
+    rows, repeats, (_, size, w) = plan_mix(sized, mix_targets, **wanted)
     return draw(sized, rows, repeats, size, w)
 
 
-def shares(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, target_entropy: float | None = None) -> DataFrame:
-    """The report: per target its share, weight, tokens at hand and drawn, the share reached, and the most uses of a document."""
+def shares(docs: DataFrame, mix_targets: DataFrame, **wanted: float) -> DataFrame:
+    """The report: per target its share, weight, exponent, tokens at hand and drawn, the share reached, and the most uses of a document."""
     sized = token_table(docs)
-    rows, repeats, (a, size, w) = plan_mix(sized, mix_targets, total, target_entropy)
+    rows, repeats, (a, size, w) = plan_mix(sized, mix_targets, **wanted)
     got = draw(sized, rows, repeats, size, w).groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("drawn"), F.max("times").alias("most_times"))
     plan = sized.sparkSession.createDataFrame([(r.source, float(r.target_share or 0), int(repeats[r.source]), int(r.tokens or 0), float(w.get(r.source, 0.0)), a) for r in rows], "source string, target_share double, max_repeats int, tokens long, weight double, exponent double")
     out = plan.join(got, "source", "left").fillna(0, ["drawn", "most_times"])

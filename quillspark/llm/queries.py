@@ -77,6 +77,20 @@ def p8_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_filled(spark, d):
+    """As many tokens as all sources hold: the exponent is the least at which no source's repetition limit is broken."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=1.0)
+
+
+def p8_filled_shares(spark, d):
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=1.0)
+
+
+def p8_leaning_shares(spark, d):
+    """The exponent at which the weights' entropy lies halfway between that of the targets and the natural one."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), leaning=0.5)
+
+
 def p9_found(spark, d):
     return prose.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
 
@@ -85,7 +99,7 @@ def p9_statistics(spark, d):
     return prose.quality_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_new_text, p4_found, p4_groups, p5_found, p5_paragraphs, p5_markdown, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_new_text, p4_found, p4_groups, p5_found, p5_paragraphs, p5_markdown, p6_found, p6_cut_texts, p7_ids, p8_mix, p8_shares, p8_filled, p8_filled_shares, p8_leaning_shares, p9_found, p9_statistics)}
 
 #: Unicode white space for engines whose \s is ASCII.
 _WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

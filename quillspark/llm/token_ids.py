@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 TOKENIZERS = "/opt/tokenizers"
 #: The published pre-tokenization pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of a leaf, and of a text beyond which its leaves are encoded by tasks of their own.
 LEAF_CHARS = 32_768
-SPREAD_CHARS = 1_000_000
+SPREAD_CHARS = 4 * LEAF_CHARS
 
 
 @lru_cache(maxsize=4)
@@ -44,17 +46,28 @@ def encoding(name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
 
 
 def _kind(c: str) -> str:
-    return "L" if c.isalpha() else "N" if c.isnumeric() else "S" if c.isspace() else "O"
+    """The pattern's class of a character: letter, number, space, other; `X` where engines disagree about white space, or for what is no whole character."""
+    if c == "\ufffd" or "\x1c" <= c <= "\x1f":
+        return "X"
+    return "S" if c.isspace() else {"L": "L", "N": "N"}.get(unicodedata.category(c)[0], "O")
 
 
 def _edge(before: str, after: str) -> bool:
-    """Whether pre-tokens on either side of this place are the same when the text is cut here."""
+    """Whether pre-tokens on either side of this place are the same when the text is cut here.
+
+    A change of class ends a pre-token, but for a space, which joins what follows, and an apostrophe, which may begin a contraction; within a run
+    of one class the pre-token goes on whatever lies farther, unless a contraction reaches into it.
+    """
     if not before or not after:
         return True
     a, b = _kind(before[-1]), _kind(after[0])
-    if a != "S" and b == "S":
+    if a in "SX" or b == "X":
+        return False
+    if b == "S":
         return True
-    return a == b == "L" and "'" not in before[-4:] and before[-4:].isascii() and after[:1].isascii()
+    if "'" in before[-3:] and b == "L":
+        return False
+    return a != b or after[0] != "'"
 
 
 def join(enc, left: list[int], right: list[int]) -> list[int]:
@@ -62,18 +75,15 @@ def join(enc, left: list[int], right: list[int]) -> list[int]:
     if not left or not right:
         return [*left, *right]
     w = 8
+    within = lambda token: enc.decode_bytes([token])[0] & 0xC0 == 0x80  # noqa: E731  it begins inside a character
     while True:
         i, j = max(0, len(left) - w), min(len(right), w)
-        whole = i == 0 and j == len(right)
+        while i > 0 and within(left[i]):
+            i -= 1
+        while j < len(right) and within(right[j]):
+            j += 1
         context, tail = enc.decode_bytes(left[max(0, i - 16) : i]), enc.decode_bytes(right[j : j + 16])
-        body = enc.decode_bytes(left[i:] + right[:j])
-        try:
-            text = body.decode()
-        except UnicodeDecodeError:  # an edge lies within a character
-            if whole:
-                raise
-            w *= 2
-            continue
+        text = enc.decode_bytes(left[i:] + right[:j]).decode()
         before, after = context.decode(errors="replace"), tail.decode(errors="replace")
         ids = enc.encode_ordinary(text)
         at_left = i == 0 or (ids[0] == left[i] and _edge(before, text))
@@ -139,10 +149,11 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long = F.length("text") > spread_chars
     short = base.filter(~F.coalesce(long, F.lit(False))).mapInArrow(_encoder(tokenizer, folder, "_id", count_only), T.StructType([*fields, value]))
 
+    leaf_chars = min(spread_chars, LEAF_CHARS)
     leaves = (
         base.filter(long)
         .withColumn("_row", F.monotonically_increasing_id())
-        .select("*", F.posexplode(F.expr(f"transform(sequence(0, CAST((length(text) - 1) div {spread_chars} AS INT)), i -> substring(text, i * {spread_chars} + 1, {spread_chars}))")).alias("_leaf", "_part"))
+        .select("*", F.posexplode(F.expr(f"transform(sequence(0, CAST((length(text) - 1) div {leaf_chars} AS INT)), i -> substring(text, i * {leaf_chars} + 1, {leaf_chars}))")).alias("_leaf", "_part"))
         .drop("text")
         .withColumnRenamed("_part", "text")
         .repartition("_row", "_leaf")

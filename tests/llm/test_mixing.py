@@ -50,3 +50,13 @@ def test_blocks_do_not_change_the_budget(spark):
 def test_empty(spark):
     docs, targets = frames(spark)
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
+
+
+def test_fill_and_leaning_move_the_exponent(spark):
+    docs = spark.createDataFrame([(i, "word " * (5 + i % 7), "a" if i < 40 else "b") for i in range(400)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.shares(docs, targets, fill=1.0).collect()}
+    total = sum(r.tokens for r in got.values())
+    assert 0 < got["a"].exponent < 1 and got["a"].most_times == 2 and abs(sum(r.drawn for r in got.values()) - total) < 0.02 * total
+    half = {r.source: r for r in mixing.shares(docs, targets, leaning=0.5).collect()}
+    assert 0 < half["a"].exponent < 1 and half["a"].weight < 0.5 and abs(half["a"].actual_share - half["a"].weight) < 0.03

@@ -73,6 +73,20 @@ def test_long_fences_do_not_overflow(spark):
     assert oversized_blocks(c, o).count() == 2
 
 
+def test_many_pieces_take_linear_time(spark):
+    import time
+
+    c, o = frames(spark, ["word " * 800_000], 100, 20)
+    t0 = time.time()
+    rows = split_oversized(c, o).selectExpr("count(*) AS n", "max(start) AS last", "sum(length(text) - overlap) AS total").first()
+    assert rows.n >= 40_000 and rows.last > 3_999_000 and rows.total == 4_000_000 and time.time() - t0 < 60
+
+
+def test_headings_are_the_strongest_pause(spark):
+    c, o = frames(spark, ["Some text here.\n\nMore.\n## Next part\nbody of it, which goes on"], 40, 0)
+    assert [p.text for p in pieces_of(split_oversized(c, o).collect())[0]] == ["Some text here.\n\nMore.\n", "## Next part\nbody of it, which goes on"]
+
+
 def test_defaults_and_empty_tables(spark):
     c = spark.createDataFrame([(1, None, "", "x" * 2000), (2, "q", "", "y" * 1600)], CH)
     o = spark.createDataFrame([("p", None, None)], OP)

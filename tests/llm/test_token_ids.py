@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillspark.llm import token_ids
 from quillspark.llm.token_ids import encode, encode_corpus, encoding
 
 ALPHABET = ["a", "b", " ", "  ", "\n", "'", "'s", "don't", "1", "23", "!", "é", "日", "😀", "the ", "ing", "̈", "²", "\t", "<|endoftext|>", "…", " "]
@@ -41,3 +42,23 @@ def test_equals_the_other_library(spark):
     t.encode_special_tokens = True
     s = "It's plain <|endoftext|> text,  zwei Wörter\n\nund 日本語 1234."
     assert t.encode(s, add_special_tokens=False).ids == encoding().encode_ordinary(s)
+
+
+def test_windows_stay_small_in_unsplit_text():
+    import random
+
+    enc, r = token_ids.encoding(), random.Random(5)
+    letters = {"cjk": range(0x4E00, 0x9000), "cyrillic": range(0x430, 0x450), "digits": range(0x30, 0x3A), "rules": [ord("=")], "signs": [ord(c) for c in "-+*/'#'"], "mixed": [ord(c) for c in "aZ'sé1٣²一-_\u0301"]}
+    for name, codes in letters.items():
+        text = "".join(chr(r.choice(codes)) for _ in range(20_000))
+        seen = []
+
+        class Counted:
+            decode_bytes = enc.decode_bytes
+
+            def encode_ordinary(self, t):
+                seen.append(len(t))
+                return enc.encode_ordinary(t)
+
+        assert token_ids.encode(Counted(), text, 512) == enc.encode_ordinary(text), name
+        assert sum(seen) / len(text) < 1.5, (name, sum(seen) / len(text))
