@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import catalog, chunking, contradictions, gateway, notes, retrieval, store
-from quillspark.session import tune
+from quillspark.operators import catalog, chunking, contradictions, crawl, gateway, notes, retrieval, store
+from quillspark.session import materialize, tune
 from quillspark.sources import convert, state
+from quillspark.streaming import watch
 
 
 class Engine:
     """Ingest, search, catalog, contradictions, notes, and SQL over one store."""
 
-    def __init__(self, spark: SparkSession, root: str, embed=None):
-        self.spark, self.root, self.embed = tune(spark), root.rstrip("/"), embed
+    def __init__(self, spark: SparkSession, root: str, embed=None, state_root: str | None = None):
+        self.spark, self.root, self.embed, self.state_root = tune(spark), root.rstrip("/"), embed, state_root
         make = lambda name, schema: store.Table(spark, f"{self.root}/{name}", schema)
         self.chunks, self.notes, self.pairs, self.manifest = (make(n, s) for n, s in (("chunks", store.CHUNKS), ("notes", store.NOTES), ("pairs", store.PAIRS), ("manifest", store.MANIFEST)))
         self.gateway = gateway.Gateway(spark)
+        self.rerank_failed = False
 
     # -- writing
 
@@ -28,33 +30,76 @@ class Engine:
         return retrieval.embed(c, "content", embedder=self.embed) if self.embed else c.withColumn("content_vector", F.lit(None).cast("array<float>"))
 
     def index(self, documents: DataFrame) -> int:
-        """Replaces documents by their paths; the number of chunks written. A document without chunks is removed."""
-        rows = self.prepare(documents).persist()
-        try:
-            n = rows.count()
-            if n:
-                self.chunks.replace(rows)
-            empty = documents.select(tx.normalize_path("source_path").alias("source_path")).join(rows.select("source_path"), "source_path", "left_anti")
-            if not empty.isEmpty():
-                self.chunks.write(self.chunks.read().join(empty, "source_path", "left_anti"))
-            return n
-        finally:
-            rows.unpersist()
+        """Replaces documents by their paths; the number of chunks written. A document without chunks is removed; open pairs of either go."""
+        rows = materialize(self.prepare(documents), "index-chunks")
+        paths = materialize(documents.select(tx.normalize_path("source_path").alias("source_path")).distinct(), "index-paths")
+        self.chunks.replace(rows, also_gone=paths)
+        self._drop_pairs(paths, only_open=True)
+        return rows.count()
+
+    def _drop_pairs(self, paths: DataFrame, only_open: bool) -> None:
+        """Removes the pairs with a side in one of the documents."""
+        sides = self.pairs.read().select("pair_id", "status", F.explode(F.array("a_path", "b_path")).alias("source_path")).join(paths, "source_path", "left_semi")
+        gone = sides.filter(~F.coalesce("status", F.lit("open")).isin(*contradictions.CLOSED)) if only_open else sides
+        ids = gone.select("pair_id").distinct()
+        if not ids.isEmpty():
+            self.pairs.replace(self.pairs.read().limit(0), also_gone=ids)
 
     def index_folder(self, folder: str, project: str = "default") -> DataFrame:
-        """Converts and indexes a folder; a summary by format: files that went well, failed, and chunks."""
-        files = convert.convert_files(convert.scan_folder(self.spark, folder)).persist()
-        good = files.filter("error IS NULL").withColumn("project", F.lit(project))
-        self.index(good)
-        done = self.chunks.read().groupBy("source_path").agg(F.count("*").alias("n"))
-        return files.withColumn("source_path", tx.normalize_path("source_path")).join(done, "source_path", "left").groupBy("format").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum(F.coalesce("n", F.lit(0))).alias("chunks"))
+        """Brings the store up to a folder; a summary by format: files that went well, failed, and chunks.
+
+        Files with the manifest's date and size are passed over, and their content isn't read. Vanished files are removed with their pairs. The
+        manifest only advances for what went well.
+        """
+        home = folder.strip().replace("\\", "/").rstrip("/")
+        here = (F.col("project") == project) & (F.lower("folder") == state.normalized_folder(folder))
+        files = convert.scan_folder(self.spark, folder)
+        disk = files.select(tx.normalize_path("path").alias("source_path"), F.col("modificationTime").alias("mtime"), "length")
+        known = self.manifest.read().filter(here)
+        actions = materialize(crawl.reconcile(disk, known).join(disk, "source_path", "left"), "folder-actions")
+        todo, gone = actions.filter("action = 'upsert'"), actions.filter("action = 'delete'").select("source_path")
+        new = files.join(todo.select(F.col("source_path").alias("_p")), tx.normalize_path("path") == F.col("_p"), "left_semi")
+        made = materialize(convert.convert_files(new), "folder-documents")
+        good = made.filter("error IS NULL").withColumn("project", F.lit(project))
+        if not good.isEmpty():
+            self.index(good)
+        if not gone.isEmpty():
+            self.chunks.replace(self.chunks.read().limit(0), also_gone=gone)
+            self._drop_pairs(gone, only_open=False)
+        done = todo.join(good.select(tx.normalize_path("source_path").alias("source_path")), "source_path", "left_semi")
+        if not actions.filter("action <> 'skip'").isEmpty():
+            row = done.select(F.lit(project).alias("project"), F.lit(home).alias("folder"), "source_path", "mtime", "length")
+            left = self.manifest.read().filter(~here).unionByName(known.join(actions.filter("action <> 'skip'").select("source_path"), "source_path", "left_anti").select(*row.columns))
+            self.manifest.write(materialize(left.unionByName(row), "folder-manifest"))
+        chunks = self.chunks.read().groupBy("source_path").agg(F.count("*").alias("n"))
+        return made.withColumn("source_path", tx.normalize_path("source_path")).join(chunks, "source_path", "left").groupBy("format").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum(F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).otherwise(0)).alias("chunks"))
+
+    @staticmethod
+    def exit_code(summary: DataFrame) -> int:
+        """1 where files failed and none went well, else 0."""
+        n = summary.agg(F.coalesce(F.sum("ok"), F.lit(0)), F.coalesce(F.sum("failed"), F.lit(0))).first()
+        return int(n[0] == 0 and n[1] > 0)
+
+    def watcher(self, folders: list[tuple[str, str]] | None = None, **options) -> watch.Watcher:
+        """A watch of (folder, project), or of every folder that was indexed before."""
+        known = [r.asDict() for r in self.manifest.read().select("folder", "project").distinct().collect()]  # one row per folder
+        return watch.Watcher(self.index_folder, watch.targets(folders or [], known)[0], **options)
 
     def remove(self, path: str) -> int:
-        contradictions.remove_for_path(self.pairs, path, only_open=False)
-        return self.chunks.delete(F.col("source_path") == path)
+        key = self._key(path)
+        contradictions.remove_for_path(self.pairs, key, only_open=False)
+        return self.chunks.delete(F.col("source_path") == key)
+
+    def _key(self, path: str) -> str:
+        return self.spark.range(1).select(tx.normalize_path(F.lit(path))).first()[0]
 
     def purge(self, project: str) -> dict[str, int]:
-        return store.purge({"chunks": self.chunks, "notes": self.notes, "pairs": self.pairs, "manifest": self.manifest}, project)
+        """Deletes a project's rows of every table, and its manifests, monitored sets and connector settings; how many of each there were."""
+        n = store.purge({"chunks": self.chunks, "notes": self.notes, "pairs": self.pairs, "manifest": self.manifest}, project)
+        if self.state_root:
+            n["manifest files"] = state.Manifests(self.state_root).delete(project)
+            n["settings"] = sum(state.Settings(self.state_root, kind).delete(project) for kind in ("monitor", "connector"))
+        return n
 
     def detect(self) -> int:
         """Nominates pairs over all chunks; those closed stay closed, open ones are replaced. The number of open pairs."""
@@ -72,19 +117,24 @@ class Engine:
         c = catalog.scoped(self.chunks.read(), project).withColumn("id", F.concat_ws("#", "source_path", "ordinal"))
         fetch = retrieval.fetch_size(k, scorer is not None)
         vector = self._vector(query)
-        try:
-            found = retrieval.hybrid(c, "id", query, vector, fetch)
+        try:  # the few hits are made here, so that a failure shows here
+            found = materialize(retrieval.hybrid(c, "id", query, vector, fetch), "hits")
         except Exception:  # noqa: BLE001  a search by vector that fails falls back to words, for this query
             found = retrieval.top(retrieval.lexical(c, "id", query), fetch)
         docs = found.join(c, "id").select(F.lit("document").alias("origin"), F.col("source_path").alias("path"), "heading_path", "content", "project", F.col("source_modified_at").alias("modified_at"), "score")
         n = catalog.scoped(self.notes.read(), project)
-        pool = notes.as_hits(n, notes.search(n, query, vector))
-        if scorer is None:
-            merged = notes.merge(docs, pool, k)
-        else:
+        try:
+            pool = materialize(notes.as_hits(n, notes.search(n, query, vector)), "note-hits")
+        except Exception:  # noqa: BLE001  without its notes a search still answers
+            pool = docs.limit(0)
+        merged = notes.merge(docs, pool, k)
+        if scorer is not None and not self.rerank_failed:
             both = docs.unionByName(pool)
             order = both.withColumn("id", F.concat_ws("#", "origin", "path", "heading_path", F.xxhash64("content"))).withColumn("position", -F.col("score"))
-            merged = order.drop("score", "position").join(retrieval.rerank(order, scorer, k), "id").drop("id")
+            try:
+                merged = order.drop("score", "position").join(materialize(retrieval.rerank(order, scorer, k), "reranked"), "id").drop("id")
+            except Exception:  # noqa: BLE001  a reranker that fails once stays off
+                self.rerank_failed = True
         return notes.annotate(merged, n)
 
     def _vector(self, query: str) -> list[float] | None:
@@ -99,12 +149,43 @@ class Engine:
     def sources(self, project: str | None = None) -> DataFrame:
         return catalog.list_sources(self.chunks.read().withColumn("chunk_id", F.col("ordinal")), project)
 
+    def unscoped(self) -> DataFrame:
+        """(project, documents): what a list over all projects shows in place of every source."""
+        return self.chunks.read().groupBy("project").agg(F.countDistinct("source_path").alias("documents")).orderBy("project")
+
+    def projects(self) -> DataFrame:
+        return catalog.known_projects(self.chunks.read(), self.manifest.read())
+
+    def ping(self) -> dict[str, int]:
+        """The versions of the tables, without reading rows: that the store answers."""
+        return {n: getattr(self, n).version() for n in ("chunks", "notes", "pairs", "manifest")}
+
+    def databases(self) -> list[tuple[str, str]]:
+        return self.gateway.listed()
+
+    def connectors(self) -> dict[str, list[str]]:
+        """Projects with stored monitored sets and connector settings."""
+        return {k: state.Settings(self.state_root, k).listed() if self.state_root else [] for k in ("monitor", "connector")}
+
+    def contradictions(self, limit: int = 20, project: str | None = None, include_closed: bool = False) -> DataFrame:
+        """Pairs, newest detection first: from 1 to 50 of them."""
+        return contradictions.listed(self.pairs.read(), include_closed, project).limit(min(50, max(1, limit)))
+
+    def dismiss(self, pair_id: str) -> None:
+        contradictions.set_status(self.pairs, pair_id, "dismissed")
+
+    def list_notes(self, project: str | None = None) -> DataFrame:
+        return notes.listed(self.notes.read(), project)
+
+    def remove_note(self, note_id: str) -> int:
+        return notes.remove(self.notes, note_id)
+
     def status(self) -> DataFrame:
         return catalog.project_status(self.chunks.read())
 
     def describe(self, project: str) -> dict[str, DataFrame]:
         c = catalog.scoped(self.chunks.read(), project)
-        return {"kinds": catalog.source_kinds(c), "status": catalog.project_status(c), "contradictions": catalog.summary(catalog.scoped(self.pairs.read(), project)), "top": catalog.top_documents(c)}
+        return {"kinds": catalog.source_kinds(c), "status": catalog.project_status(c), "contradictions": catalog.summary(catalog.scoped(self.pairs.read(), project)), "top": catalog.top_documents(c), "more": catalog.remaining_documents(c)}
 
     def document(self, path: str, around: int | None = None, radius: int = 2) -> DataFrame:
         d = catalog.find_document(self.chunks.read(), path)
@@ -114,6 +195,7 @@ class Engine:
     def similar(self, path: str, k: int = 5) -> DataFrame | None:
         """Documents like one; null where it has no vectors, which is not the same as none being alike."""
         c = self.chunks.read().withColumn("chunk_id", F.xxhash64("source_path", "ordinal"))
+        path = self._key(path)
         if c.filter((F.col("source_path") == path) & F.col("content_vector").isNotNull()).isEmpty():
             return None
         return retrieval.find_similar(c, path, min(25, max(1, k)))
@@ -136,5 +218,5 @@ class Engine:
         self.index(convert.convert_files(convert.scan_folder(self.spark, path)).filter("error IS NULL").withColumn("project", F.lit(project)))
         return path
 
-    def query(self, sql: str, max_rows: int | None = None) -> gateway.Result:
-        return self.gateway.query(sql, max_rows)
+    def query(self, sql: str, max_rows: int | None = None, source: str | None = None) -> gateway.Result:
+        return self.gateway.query(sql, max_rows, source)

@@ -163,6 +163,17 @@ def pdf_timestamp(t: ColumnOrName) -> Column:
     return F.when(m(3) != "", F.try_to_timestamp(F.concat(m(1), F.lit("-"), m(2), F.lit("-"), m(3), F.lit("T"), z(4), F.lit(":"), z(5), F.lit(":"), z(6), offset)))
 
 
+def honest_title(t: ColumnOrName) -> Column:
+    """A typeset file's own title, trimmed; null where it is blank, a path, a single word with a file's extension, or text whose letters are mostly doubled."""
+    title = F.trim(F.regexp_replace(_c(t), r"^(?U)\s+|(?U)\s+$", ""))
+    letters = F.regexp_replace(title, r"[^\p{L}]", "")
+    n = F.length(letters)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)), F.lit(2)), lambda i: (F.substr(letters, i, F.lit(1)) == F.substr(letters, i + 1, F.lit(1))).cast("int"))
+    doubled = (n >= 6) & (2 * F.aggregate(pairs, F.lit(0), lambda a, x: a + x) >= 0.7 * n)
+    file_like = title.rlike(r"[/\\]") | title.rlike(r"^[^ ]+\.[\p{L}\p{Nd}]{1,5}$")
+    return F.when((title != "") & ~file_like & ~doubled, title)
+
+
 def days_between(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Exact distance of two time stamps in days, as DOUBLE."""
     return F.abs(F.unix_micros(_c(a)) - F.unix_micros(_c(b))) / F.lit(86_400_000_000.0)

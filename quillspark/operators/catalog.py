@@ -66,6 +66,16 @@ def top_documents(chunks: DataFrame, k: int = 20) -> DataFrame:
     return chunks.groupBy("source_path").agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), "source_path").limit(k)
 
 
+def remaining_documents(chunks: DataFrame, k: int = 20) -> DataFrame:
+    """(documents, more): how many there are, and how many are beyond the first ``k``."""
+    return chunks.agg(F.countDistinct("source_path").alias("documents")).select("documents", F.greatest(F.col("documents") - k, F.lit(0)).cast("long").alias("more"))
+
+
+def known_projects(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Projects that are indexed or have a manifest, in order."""
+    return chunks.select("project").union(manifest.select("project")).filter("project IS NOT NULL").distinct().orderBy("project")
+
+
 def find_document(chunks: DataFrame, path: str, strict: bool = False) -> DataFrame:
     """Chunks of one document: by its path, else by a file name its path ends with (``strict``: after a slash).
 

@@ -21,7 +21,7 @@ def with_ids(notes: DataFrame) -> DataFrame:
 def add(table: Table, notes: DataFrame) -> int:
     """Upsert by id: the same project, target and text is one note."""
     last = Window.partitionBy("note_id").orderBy(F.desc("created_at"))
-    return table.replace(with_ids(notes).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n"), key="note_id")
+    return table.replace(with_ids(notes).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n"))
 
 
 def remove(table: Table, note_id: str) -> int:

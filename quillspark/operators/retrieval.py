@@ -150,6 +150,11 @@ def nearest_blocks(base: DataFrame, queries: DataFrame, k: int, id_col: str = "i
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def displayed(hits: DataFrame) -> DataFrame:
+    """Hits as they are shown: the score to two places and, as ``source``, the file name of the path."""
+    return hits.withColumns({"score": F.bround("score", 2), "source": F.element_at(F.split("path", r"[/\\\\]"), -1)})
+
+
 def fetch_size(k: int, reranks: bool) -> int:
     """Hits to fetch: three times as many for a reranker, from 12 to 20."""
     return min(20, max(12, 3 * k)) if reranks else k

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 import json
 
 import pytest
@@ -70,13 +71,28 @@ def test_stream_gives_the_last_event_of_a_burst(spark, tmp_path):
     t = dt.datetime(2026, 1, 1)
     schema = "path string, old_path string, change string, ts timestamp"
     src = str(tmp_path / "in")
-    for n, rows in enumerate([[("/a.md", None, "changed", t), ("/a.md", None, "deleted", t + dt.timedelta(milliseconds=200))], [("/z.md", None, "changed", t + dt.timedelta(hours=1))]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{src}/{n}")
+    spark.createDataFrame([("/a.md", None, "changed", t), ("/a.md", None, "deleted", t + dt.timedelta(milliseconds=200)), ("/b.md", None, "changed", t)], schema).coalesce(1).write.parquet(src)
     seen = []
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src)
-    q = watch.watch(stream, lambda b, i: seen.extend(b.collect()), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.path, r.kind) for r in seen] == [("/a.md", "delete")]
+    q = watch.watch(spark.readStream.schema(schema).parquet(src), lambda b, i: seen.extend(b.collect()), str(tmp_path / "cp")).start()
+    assert watch.stop(q, 90)  # no later event is needed
+    assert sorted((r.path, r.kind, r.events) for r in seen) == [("/a.md", "delete", 2), ("/b.md", "upsert", 1)]
+
+
+def test_watcher(tmp_path):
+    (tmp_path / "in").mkdir()
+    f, calls, log = tmp_path / "in" / "a.md", [], []
+    w = watch.Watcher(lambda folder, project: calls.append(project), [(str(tmp_path / "in"), "p")], quiet=0.05, log=lambda k, p: log.append(k))
+    w.start()
+    assert calls == ["p"] and w.tick() == 0
+    f.write_text("x")
+    assert w.tick() == 0  # not quiet yet
+    time.sleep(0.06)
+    assert w.tick() == 1 and w.tick() == 0
+    f.unlink()
+    w.stop()  # the last change isn't waited for
+    assert calls == ["p"] * 3 and log == ["started", "reconciled", "indexed", "indexed", "stopped"]
+    found, missing = watch.targets([], [{"folder": str(tmp_path / "in"), "project": "p"}, {"folder": str(tmp_path / "IN") + "/", "project": "p"}, {"folder": "/no/such", "project": "q"}])
+    assert found == [(str(tmp_path / "in"), "p")] and missing == [("/no/such", "q")]
 
 
 def test_retry():

@@ -74,7 +74,9 @@ def test_engine(spark, tmp_path):
         pair = e.pairs.read().first().pair_id
         e.resolve(pair, "The newer one holds.", "ann")
         assert e.detect() == open_pairs - 1
-    assert set(e.describe("p")) == {"kinds", "status", "contradictions", "top"}
+    assert set(e.describe("p")) == {"kinds", "status", "contradictions", "top", "more"} and e.unscoped().first().project == "p"
+    assert e.contradictions(99, include_closed=True).count() >= open_pairs and e.list_notes("p").count() >= 1
+    assert e.search("retention audit trail", k=2, scorer=lambda c: F.assert_true(F.lit(False)).cast("double")).count() == 2 and e.rerank_failed  # the order of before
     assert e.remove("/else.md") == 1
     assert e.purge("p")["chunks"] == 3 and e.chunks.read().count() == 0
 
@@ -87,6 +89,13 @@ def test_engine_without_vectors_and_folder(spark, tmp_path):
     s = {r.format: (r.ok, r.failed, r.chunks) for r in e.index_folder(str(tmp_path / "docs"), "p").collect()}
     assert s == {"Markdown": (1, 0, 1), "Pdf": (0, 1, 0)}
     assert e.search("audit").first().heading_path == "Audit" and e.similar(e.chunks.read().first().source_path) is None
+    assert e.index_folder(str(tmp_path / "docs"), "p").filter("format = 'Markdown'").count() == 0 and e.ping()["chunks"] == 1  # nothing has changed, nothing is written
+    (tmp_path / "docs" / "A.md").unlink()
+    summary = e.index_folder(str(tmp_path / "docs"), "p")
+    assert e.chunks.read().count() == 0 and e.exit_code(summary) == 1
+    (tmp_path / "docs" / "A.md").write_text("# Audit\n\nThe audit trail.")
+    e.index_folder(str(tmp_path / "docs"), "p")
+    assert [r.project for r in e.projects().collect()] == ["p"]
     path = e.save_document(str(tmp_path / "gen"), "A title", "words", "p", "me")
     assert path.endswith("p/a-title.md") and e.chunks.read().count() == 2
 

@@ -91,3 +91,9 @@ def test_breadcrumb_roundtrip(spark):
     d = spark.createDataFrame([("A > B", "text"), ("A", ""), ("", "only")], "h string, t string")
     got = d.select(tx.strip_breadcrumb(tx.with_breadcrumb("h", "t"), "h").alias("t"), F.col("t").alias("want")).collect()
     assert all(r.t == r.want for r in got)
+
+
+def test_honest_titles(spark):
+    rows = [(" Field guide ", "Field guide"), ("v1.4 of the guide", "v1.4 of the guide"), ("page.htm", None), ("scan_7.pdf", None), ("d:\\out\\x", None), ("a/b", None), ("GGuuiiddee ttoo", None), ("Committee wood", "Committee wood"), ("  ", None), (None, None), ("x.toolong", "x.toolong")]
+    d = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, t string")
+    assert [r.t for r in d.select("i", tx.honest_title("t").alias("t")).orderBy("i").collect()] == [b for _, b in rows]
