@@ -14,6 +14,10 @@ from quillspark.functions import text as tx
 from quillspark.session import materialize
 
 
+#: Rows that one task may order.
+ONE_TASK = 100_000
+
+
 def neighbour_edges(issues: DataFrame, known_projects: DataFrame, seeds: DataFrame) -> DataFrame:
     """(src, dst, rel, pos) of tickets: links, parent, subtasks, children, and, of seeds only, mentions of real projects' keys.
 
@@ -31,12 +35,30 @@ def neighbour_edges(issues: DataFrame, known_projects: DataFrame, seeds: DataFra
     return every.filter("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.min_by("rel", "pos").alias("rel"), F.min("pos").alias("pos"))
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in an order: sorted by ranges, counted per range, and numbered within each; up to ONE_TASK rows by one window."""
+    df = materialize(df, "to-number")
+    if df.count() <= ONE_TASK:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    parts = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    place = F.shiftright("_at", 33)
+    d = parts.withColumns({"_part": place, "_in": F.col("_at") - F.shiftleft(place, 33)})
+    counts = {r._part: r.n for r in d.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row per range
+    before, rows = 0, []
+    for p in sorted(counts):
+        rows.append((p, before))
+        before += counts[p]
+    offsets = df.sparkSession.createDataFrame(rows or [(0, 0)], "_part long, _before long")
+    return d.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).select(*df.columns, name)
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, budget: int | None = None, existing: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """((id, depth, position, via, skipped) in order of discovery, accounting).
 
     ``edges``: (src, dst) and optionally pos; ``seeds``: (id) and optionally pos. Ids in ``existing`` can be fetched; others are skipped
     and don't count against the budget. Nodes at ``max_depth`` are kept but not expanded. Null ids take no part.
     """
+    spark = edges.sparkSession
     e = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
     e = e.select("src", "dst", *(["pos"] if "pos" in edges.columns else [F.lit(0).alias("pos")]))
     first = seeds.filter("id IS NOT NULL").groupBy("id").agg(F.min("pos" if "pos" in seeds.columns else "id").alias("_o"))
@@ -45,7 +67,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, budget: int | None =
     def placed(df: DataFrame, depth: int) -> DataFrame:
         d = df.withColumn("depth", F.lit(depth))
         d = d.withColumn("skipped", F.lit(False)) if real is None else d.join(real, "id", "left").withColumn("skipped", F.col("_real").isNull()).drop("_real")
-        return d.withColumn("position", F.row_number().over(Window.partitionBy("depth").orderBy("_o", "id")).cast("long")).select("id", "depth", "position", "via", "skipped")
+        return numbered(d, ["_o", "id"], "position").select("id", "depth", "position", "via", "skipped")
 
     level = materialize(placed(first.withColumn("via", F.lit(None).cast(first.schema["id"].dataType)), 0), "crawl")
     seen, used = level, level.filter("NOT skipped").count()
@@ -62,9 +84,18 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, budget: int | None =
         used += level.filter("NOT skipped").count()
     counts = seen.agg(F.count("*").alias("discovered"), F.count_if("skipped").alias("skipped")).first()
     ranked = seen
-    if budget is not None:
-        order = Window.partitionBy("skipped").orderBy("depth", "position")
-        ranked = seen.withColumn("_n", F.row_number().over(order)).filter(F.col("skipped") | (F.col("_n") <= budget)).drop("_n")
+    if budget is not None:  # whole levels while they fit; of the level where the budget ends, its first nodes
+        per = {r.depth: r.n for r in seen.filter("NOT skipped").groupBy("depth").agg(F.count("*").alias("n")).collect()}  # one row per level
+        left, limits = budget, []
+        for depth in sorted(per):
+            limits.append((depth, max(0, left)))
+            left -= per[depth]
+        room = spark.createDataFrame(limits or [(0, budget)], "depth int, _room long")
+        cut = [x for x, r in limits if r < per[x]][:1]
+        fits = seen.join(F.broadcast(room), "depth", "left")
+        whole = fits.filter(F.col("skipped") | (F.col("depth") < (cut[0] if cut else 2**31 - 1)))
+        part = numbered(fits.filter(~F.col("skipped") & (F.col("depth") == (cut[0] if cut else -1))), ["position"], "_n").filter(F.col("_n") <= F.col("_room"))
+        ranked = whole.select(seen.columns).unionByName(part.select(seen.columns))
     kept = min(used, budget) if budget is not None else used
     return ranked, {"discovered": counts.discovered, "skipped": counts.skipped, "nodes": kept, "dropped": max(0, counts.discovered - kept - counts.skipped), "budget_hit": budget is not None and used >= budget}
 
@@ -74,6 +105,21 @@ def scope(pages: DataFrame, seed: Column) -> DataFrame:
     return pages.filter((F.col("page_id") == seed) | F.array_contains("ancestor_ids", seed))
 
 
+def closure(links: DataFrame) -> DataFrame:
+    """(id, up): of links (id, up) all pairs of a node and what lies above it, through any number of links. Cycles end where no pair is new.
+
+    Each round doubles the length of the ways that are known, and is written for the next.
+    """
+    key = ["id", "up"]
+    known = fresh = materialize(links.select(key).filter("id IS NOT NULL AND up IS NOT NULL").distinct(), "closure")
+    while not fresh.isEmpty():
+        step = fresh.join(known.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up"))
+        back = known.join(fresh.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up"))
+        fresh = materialize(step.unionByName(back).distinct().join(known, key, "left_anti"), "closure")
+        known = known.unionByName(fresh)
+    return known
+
+
 def tree(nodes: DataFrame) -> DataFrame:
     """(id, parent_id, is_root): a parent outside of the run, or the node itself, makes a root."""
     have = nodes.select(F.col("id").alias("parent_id")).distinct().withColumn("_in", F.lit(True))

@@ -15,12 +15,10 @@ KIND_SQL = "CASE WHEN starts_with(source_path,'jira://') THEN 'jira' WHEN starts
 
 
 @query("list_sources", """SELECT source_path, count(*) AS chunks, arg_min(coalesce(title,'-'), ordinal*1000000000000+chunk_id) AS title, arg_min(project, ordinal*1000000000000+chunk_id) AS project,
- epoch_us(min(source_modified_at)) AS modified_us FROM chunks GROUP BY source_path""")
+ arg_min(coalesce(epoch_us(source_modified_at),-1), ordinal*1000000000000+chunk_id) AS modified_us FROM chunks GROUP BY source_path""")
 def list_sources(spark, d):
-    c = table(spark, d, "chunks")
-    s = catalog.list_sources(c)
-    oldest = c.groupBy("source_path").agg(F.unix_micros(F.min("source_modified_at")).alias("modified_us"))
-    return s.select("source_path", "chunks", F.coalesce("title", F.lit("-")).alias("title"), "project").join(oldest, "source_path")
+    s = catalog.list_sources(table(spark, d, "chunks"))
+    return s.select("source_path", "chunks", F.coalesce("title", F.lit("-")).alias("title"), "project", F.coalesce(F.unix_micros("source_modified_at"), F.lit(-1)).alias("modified_us"))
 
 
 @query("project_status", """SELECT project, count(*) AS chunks, count(DISTINCT source_path) AS documents, epoch_us(min(source_modified_at)) AS oldest_us, epoch_us(max(source_modified_at)) AS newest_us,
@@ -96,7 +94,9 @@ def contradiction_summary(spark, d):
     return catalog.summary(table(spark, d, "contradiction_pairs"))
 
 
-@query("shortest_labels")
+@query("shortest_labels", """WITH p AS (SELECT DISTINCT source_path AS path, string_split(source_path,'/') AS s FROM chunks), k AS (SELECT path, s, unnest(range(1,len(s)+1)) AS k FROM p WHERE NOT contains(path,'://')),
+ l AS (SELECT path, k, array_to_string(list_slice(s,-k,-1),'/') AS label FROM k), u AS (SELECT *, count(*) OVER (PARTITION BY lower(label)) AS n, max(k) OVER (PARTITION BY path) AS most FROM l)
+ SELECT path, arg_min(CASE WHEN n=1 THEN label ELSE path END, CASE WHEN n=1 THEN k ELSE most END) AS label FROM u WHERE n=1 OR k=most GROUP BY path UNION ALL SELECT path, path FROM p WHERE contains(path,'://')""")
 def shortest_labels(spark, d):
     return catalog.shortest_labels(table(spark, d, "chunks").select(F.col("source_path").alias("path")))
 
@@ -110,12 +110,24 @@ def scan_statistics(spark, d):
     return layout.statistics(table(spark, d, "pdf_lines"))
 
 
-@query("scan_headings")
+HEADINGS_SQL = """(WITH d AS (SELECT *, round(font_size*2)/2 AS size FROM pdf_lines), s AS (SELECT source_path, size, sum(word_count) AS w FROM d WHERE size IS NOT NULL AND word_count>0 GROUP BY ALL),
+ b AS (SELECT source_path, min(size) AS body FROM (SELECT *, sum(w) OVER (PARTITION BY source_path ORDER BY size) AS c, sum(w) OVER (PARTITION BY source_path) AS t FROM s) WHERE c>t//2 GROUP BY source_path),
+ e AS (SELECT d.*, size>=body*1.15 AS large FROM d JOIN b USING (source_path) WHERE word_count<=15 AND (size>=body*1.15 OR (coalesce(bold,false) AND size>=body AND NOT ends_with(rtrim(text),'.')))),
+ r AS (SELECT source_path, size, row_number() OVER (PARTITION BY source_path ORDER BY size DESC) AS r, count(*) OVER (PARTITION BY source_path) AS n FROM (SELECT DISTINCT source_path, size FROM e WHERE large)), n AS (SELECT DISTINCT source_path, n FROM r)
+ SELECT line_id, e.source_path, text, CAST(CASE WHEN r.r IS NOT NULL THEN least(r.r,3) ELSE least(coalesce(n.n,0)+1,4) END AS INTEGER) AS level FROM e LEFT JOIN r ON r.source_path=e.source_path AND r.size=e.size LEFT JOIN n ON n.source_path=e.source_path)"""
+
+
+@query("scan_headings", f"SELECT * FROM {HEADINGS_SQL}")
 def scan_headings(spark, d):
     return layout.headings(table(spark, d, "pdf_lines"))
 
 
-@query("scan_markdown")
+@query("scan_markdown", f"""WITH g AS (SELECT source_path, round(lag(baseline) OVER (PARTITION BY source_path, page_no ORDER BY line_no, line_id)-baseline,1) AS gap FROM pdf_lines), n AS (SELECT source_path, gap, count(*) AS w FROM g WHERE gap>0 GROUP BY ALL),
+ t AS (SELECT source_path, min(gap) AS typical FROM (SELECT *, sum(w) OVER (PARTITION BY source_path ORDER BY gap) AS c, sum(w) OVER (PARTITION BY source_path) AS t FROM n) WHERE c>t//2 GROUP BY source_path),
+ l AS (SELECT p.*, h.level, typical, lag(baseline) OVER w-baseline AS gap, lag(h.level) OVER w AS after, row_number() OVER w AS nr FROM pdf_lines p LEFT JOIN {HEADINGS_SQL} h USING (line_id) LEFT JOIN t ON t.source_path=p.source_path WINDOW w AS (PARTITION BY p.source_path, p.page_no ORDER BY p.line_no, p.line_id)),
+ b AS (SELECT *, sum(CASE WHEN level IS NOT NULL OR after IS NOT NULL OR coalesce(gap>typical*1.6,false) OR nr=1 THEN 1 ELSE 0 END) OVER (PARTITION BY source_path, page_no ORDER BY line_no, line_id) AS k FROM l),
+ x AS (SELECT source_path, page_no, k, CASE WHEN max(level) IS NOT NULL THEN repeat('#',max(level))||' ' ELSE '' END||string_agg(text,' ' ORDER BY line_no, line_id) AS t FROM b GROUP BY ALL)
+ SELECT source_path, string_agg(t, chr(10)||chr(10) ORDER BY page_no, k) AS markdown FROM x GROUP BY source_path""")
 def scan_markdown(spark, d):
     return layout.markdown(table(spark, d, "pdf_lines"))
 

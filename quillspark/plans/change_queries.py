@@ -115,16 +115,18 @@ def tree_roots(spark, d):
     return crawl.tree(table(spark, d, "emails").select(F.col("email_id").alias("id"), F.col("in_reply_to").alias("parent_id")))
 
 
-@query("scope_closure", """WITH RECURSIVE a AS (SELECT email_id AS id, in_reply_to AS up, 1 AS n FROM emails WHERE in_reply_to IS NOT NULL UNION ALL SELECT a.id, e.in_reply_to, n+1 FROM a JOIN emails e ON e.email_id=a.up WHERE e.in_reply_to IS NOT NULL AND n<50)
+@query("scope_closure", """WITH RECURSIVE a AS (SELECT email_id AS id, in_reply_to AS up FROM emails WHERE in_reply_to IS NOT NULL UNION SELECT a.id, e.in_reply_to FROM a JOIN emails e ON e.email_id=a.up WHERE e.in_reply_to IS NOT NULL)
  SELECT up AS page_id, count(DISTINCT id) AS below FROM a GROUP BY up""")
 def scope_closure(spark, d):
-    """Per mail the number of mails below it: the ancestor closure, by recursive SQL."""
+    """Per mail the number of mails below it: the closure of the reply links."""
     m = table(spark, d, "emails").filter("in_reply_to IS NOT NULL").select(F.col("email_id").alias("id"), F.col("in_reply_to").alias("up"))
-    m.createOrReplaceTempView("_up")
-    return spark.sql("WITH RECURSIVE a(id, up, n) AS (SELECT id, up, 1 FROM _up UNION ALL SELECT a.id, u.up, n + 1 FROM a JOIN _up u ON u.id = a.up WHERE n < 50) SELECT up AS page_id, count(DISTINCT id) AS below FROM a GROUP BY up")
+    return crawl.closure(m).groupBy(F.col("up").alias("page_id")).agg(F.countDistinct("id").alias("below"))
 
 
-@query("neighbour_edges")
+@query("neighbour_edges", r"""WITH c AS (SELECT upper(substr(source_path,8)) AS k, text FROM chunks WHERE starts_with(source_path,'jira://')), i AS (SELECT DISTINCT k, regexp_extract(k,'^([A-Z][A-Z0-9]*)-\d+$',1) AS p, TRY_CAST(regexp_extract(k,'-(\d+)$',1) AS INTEGER) AS n FROM c),
+ e AS (SELECT k AS src, p||'-'||(n+1) AS dst, 'link' AS rel, 0 AS pos FROM i WHERE p<>'' UNION ALL SELECT k, p||'-1', 'parent', 10000 FROM i WHERE n>1 AND p<>'' UNION ALL SELECT p||'-1', k, 'child', 30000 FROM i WHERE n>1 AND p<>''
+  UNION ALL SELECT k, m, 'mention', 40000 FROM (SELECT DISTINCT k, upper(unnest(regexp_extract_all(text,'(?i)\b[A-Z][A-Z0-9]+-\d+\b'))) AS m FROM c) WHERE regexp_extract(m,'^([A-Z][A-Z0-9]*)-\d+$',1) IN (SELECT p FROM i WHERE p<>''))
+ SELECT src, dst, arg_min(rel,pos) AS rel FROM e WHERE dst<>'' AND src<>dst GROUP BY src, dst""")
 def neighbour_edges(spark, d):
     """Edges of the ticket documents: the tickets that a ticket's text mentions, and the next number of its project as a link."""
     c = table(spark, d, "chunks").filter(F.col("source_path").startswith("jira://"))

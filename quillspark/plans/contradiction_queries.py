@@ -8,6 +8,7 @@ from quillspark.functions import text as tx
 from quillspark.operators import catalog, contradictions
 from quillspark.operators.neighbours import top_neighbours
 from quillspark.plans.catalogue import query
+from quillspark.plans.retrieval_queries import OK_VECTOR, cosine_sql
 from quillspark.plans.text_queries import NORM
 from quillspark.tables import table
 
@@ -21,10 +22,15 @@ def _newest(spark, d):
 NEWEST_SQL = "(SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY detected_at DESC, coalesce(status,'') DESC) AS n FROM contradiction_pairs) WHERE n=1)"
 
 
-@query("nominate_candidates")
+LATEST_SQL = "(SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY source_path, ordinal ORDER BY indexed_at DESC, chunk_id DESC) AS n FROM chunks) WHERE n=1)"
+
+
+@query("nominate_candidates", f"""WITH c AS (SELECT * FROM {LATEST_SQL} WHERE {OK_VECTOR('content_vector')}), p AS (SELECT a.chunk_id AS id, b.chunk_id AS other_id, round({cosine_sql('a.content_vector', 'b.content_vector')},12) AS cosine FROM c a JOIN c b ON a.project=b.project AND a.source_path<>b.source_path AND len(a.content_vector)=len(b.content_vector)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other_id) AS n FROM p WHERE cosine>={contradictions.FLOOR_COSINE}) SELECT id, other_id, round(cosine,6) AS cosine FROM r WHERE n<={contradictions.NEIGHBOURS}""")
 def nominate_candidates(spark, d):
     c = catalog.latest(table(spark, d, "chunks"))
-    return top_neighbours(c, "chunk_id", "content_vector", "project", "source_path", contradictions.NEIGHBOURS, contradictions.FLOOR_COSINE)
+    near = top_neighbours(c, "chunk_id", "content_vector", "project", "source_path", contradictions.NEIGHBOURS, contradictions.FLOOR_COSINE)
+    return near.select("id", "other_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("nominate_pairs")

@@ -98,7 +98,8 @@ def markdown_titles(spark, d):
     return table(spark, d, "conversions").select("source_path", tx.markdown_title("markdown").alias("t")).groupBy("source_path").agg(F.count("*").alias("copies"), F.min("t").alias("heading"))
 
 
-@query("natural_order")
+@query("natural_order", r"""WITH p AS (SELECT DISTINCT source_path FROM chunks) SELECT source_path, array_to_string(list_transform(regexp_extract_all(lower(source_path),'\d+|\D+'),
+ lambda x: CASE WHEN regexp_matches(x,'^\d') THEN lpad(CAST(length(regexp_replace(x,'^0+(.)','\1')) AS VARCHAR),10,'0')||regexp_replace(x,'^0+(.)','\1') ELSE x END),'') AS sort_key FROM p""")
 def natural_order(spark, d):
     return table(spark, d, "chunks").select("source_path").distinct().withColumn("sort_key", tx.natural_key("source_path"))
 

@@ -240,3 +240,16 @@ def test_pages_and_listing(spark):
     assert api.paged(lambda u: (200, listing[u]), "a", "results", lambda j: j.get("next"), 10) == [1, 2, 3]
     assert api.paged(lambda u: (200, listing[u]), "a", "results", lambda j: j.get("next"), 1) == [1]
     assert [api.parse_seed(*x) for x in (("12",), ("https://h/wiki/spaces/S/pages/5/T",), ("https://h/wiki/spaces/S/folder/6",), ("https://h/wiki/spaces/S/overview",), ("x", "K"), ("",))] == [("page", "12"), ("page", "5"), ("folder", "6"), ("space", "S"), ("space", "K"), None]
+
+
+def test_numbering_by_ranges(spark, monkeypatch):
+    d = spark.createDataFrame([(i * 37 % 1000, "x") for i in range(1000)], "id long, t string").repartition(5)
+    one = {(r.id, r.n) for r in crawl.numbered(d, ["id"], "n").collect()}
+    monkeypatch.setattr(crawl, "ONE_TASK", 10)
+    assert one == {(i, i + 1) for i in range(1000)} == {(r.id, r.n) for r in crawl.numbered(d, ["id"], "n").collect()}
+
+
+def test_closure(spark):
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 121)] + [(500, 501), (501, 500), (7, None)], "id long, up long")
+    got = {(r.id, r.up) for r in crawl.closure(links).collect()}
+    assert got == {(i, j) for i in range(1, 121) for j in range(i)} | {(500, 501), (501, 500), (500, 500), (501, 501)}
