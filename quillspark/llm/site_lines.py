@@ -1,11 +1,15 @@
 """Lines repeated across one site's documents, found by content-defined chunking.
 
-The text's normal form is cut into chunks where a rolling hash of the last bytes hits a pattern, not at fixed
-offsets; a chunk therefore depends on its own content and is the same wherever the passage recurs. A line end
-closes a chunk as well, because the required result is told by line: all chunks of a line are then decided by that
-line, so a line that recurs in N documents has only chunks that recur in at least N documents. Distinct
-documents are counted per source and chunk; lines whose least frequent probe recurs often enough are candidates,
-and an exact count of their 128-bit line hash decides. Nothing is capped and no line is lost on the way.
+A text is one stream of bytes in normal form, in which a line end is a space like any other. It is cut where the rolling hash of GRAM bytes is the
+least of its neighbourhood (of SPAN places in a row, the first of equal ones), so that a chunk depends on its own content and is the
+same wherever the passage recurs, whatever its lines. Distinct documents are counted per chunk and source; chunks in ``min_docs``
+documents are repeated.
+
+The required result is told by line, so repeated chunks are mapped to lines: within a line of ENOUGH bytes the first cut and the one after
+it follow from the line alone (at most SPAN places lie between neighbouring cuts, and no window from outside can cut between them), so its first
+whole chunk recurs wherever the line does, and a line whose chunk is not repeated isn't either. Shorter lines may hold no whole chunk: for
+them, and to tell a line that shares a chunk with others from a repeated one, documents are counted per 128-bit hash of the line. Nothing is
+capped and no line is lost on the way.
 
 Skew: pairs of (source and chunk, document) are made distinct first and then counted, with map-side partial
 aggregation at both steps; the joins are sort-merge joins on (source, hash) that adaptive execution splits.
@@ -28,22 +32,33 @@ from quillspark.llm.pieces import lines_as_lf
 from quillspark.session import materialize
 
 MIN_CHARS = 12
-#: Bytes in the rolling window, and the mask that makes chunks of about 64 bytes.
-WINDOW, MASK = 8, np.uint64(63)
-_DIGITS, _ENDS = re.compile(r"\d+"), re.compile(r"^[\W_]+|[\W_]+$")
+#: Bytes of the rolling hash, places of which the least is a cut (a power of two), and bytes in which a whole chunk must lie.
+GRAM, SPAN = 8, 32
+ENOUGH = 2 * SPAN + GRAM - 1
+#: Bytes of text handled at once; a place takes as many bits of a key.
+PLACE_BITS = 30
+_DIGITS = re.compile(r"\d+")
+
+
+def _plain(line: str) -> str:
+    """Lower case, white space as one space, digit runs as 0."""
+    return _DIGITS.sub("0", " ".join(line.lower().split()))
+
+
+def _inner(s: str) -> tuple[int, int]:
+    """Where the first letter or digit stands, and behind the last."""
+    i, j = 0, len(s)
+    while i < j and not s[i].isalnum():
+        i += 1
+    while j > i and not s[j - 1].isalnum():
+        j -= 1
+    return i, j
 
 
 def normal_form(line: str) -> str:
-    """Lower case, white space as one space, digit runs as 0, and letters or digits at both ends."""
-    s = _DIGITS.sub("0", " ".join(line.lower().split()))
-    if s and not (s[0].isalnum() and s[-1].isalnum()):
-        i, j = 0, len(s)
-        while i < j and not s[i].isalnum():
-            i += 1
-        while j > i and not s[j - 1].isalnum():
-            j -= 1
-        s = s[i:j]
-    return s
+    s = _plain(line)
+    i, j = _inner(s)
+    return s[i:j]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -71,72 +86,90 @@ def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int
     return _mix((sums[ends] - sums[starts]) * _powers(_INVERSES[k], len(data) + 1)[starts])
 
 
-def cut_points(data: np.ndarray, line_starts: np.ndarray) -> np.ndarray:
-    """Starts of the chunks: every line start, and every place behind a window whose rolling hash hits the pattern."""
+def least_places(data: np.ndarray) -> np.ndarray:
+    """For each place the one, of the SPAN places from it on, whose gram has the least hash; of equal ones the first."""
+    n = len(data) - GRAM + 1
+    if n < SPAN:
+        return np.empty(0, dtype=np.int64)
     t = _TABLES[2][data]
-    h = np.zeros(len(data), dtype=np.uint64)
-    for i in range(WINDOW):  # the rolling hash of the window that ends at each byte
-        h[WINDOW - 1 :] += t[i : len(t) - WINDOW + 1 + i] << np.uint64(5 * (WINDOW - 1 - i))
-    hit = (_mix(h) & MASK) == 0
-    hit[: WINDOW - 1] = False
-    since = np.arange(len(data)) - np.repeat(line_starts, np.diff(np.append(line_starts, len(data))))
-    hit &= since >= WINDOW - 1  # the window lies within its line
-    cuts = np.flatnonzero(hit) + 1
-    return np.union1d(line_starts, cuts[cuts < len(data)])
-
-
-def fingerprints(norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines in normal form: two line hashes each, and all chunk hashes with the number of their line."""
-    raw = [s.encode() for s in norms]
-    lens = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    ends = np.cumsum(lens)
-    starts = ends - lens
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    cuts = cut_points(data, starts)
-    chunk = _range_hashes(data, cuts, np.append(cuts[1:], len(data)), 2)
-    return _range_hashes(data, starts, ends, 0).view(np.int64), _range_hashes(data, starts, ends, 1).view(np.int64), chunk.view(np.int64), np.searchsorted(starts, cuts, side="right") - 1
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(GRAM):
+        h += t[i : n + i] << np.uint64(5 * (GRAM - 1 - i))
+    low = np.uint64(2**PLACE_BITS - 1)
+    key = (_mix(h) & ~low) | np.arange(n, dtype=np.uint64)
+    step = 1
+    while step < SPAN:
+        key = np.minimum(key[:-step], key[step:])
+        step *= 2
+    return (key & low).astype(np.int64)
+
+
+def fingerprints(data: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that begin at ``rows`` of the bytes: the row and hash of each chunk; and of the lines two hashes each and the hash of their first whole chunk, 0 where none must lie in them."""
+    least = least_places(data)
+    cuts = np.union1d(least, rows)
+    chunk = _range_hashes(data, cuts, np.append(cuts[1:], len(data)), 2).view(np.int64)
+    probe = np.zeros(len(starts), dtype=np.int64)
+    long = np.flatnonzero(ends - starts >= ENOUGH)
+    probe[long] = chunk[np.searchsorted(cuts, least[starts[long]])]
+    h1, h2 = (_range_hashes(data, starts, ends, k).view(np.int64) for k in (0, 1))
+    return np.searchsorted(rows, cuts, side="right") - 1, chunk, h1, h2, probe
+
+
+_LINE = pa.struct([("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("probe", pa.int64())])
 
 
 def _lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):  # bounds what a task holds
-                part = b.slice(at, 1024)
-                row, no, norms = [], [], []
+            for at in range(0, b.num_rows, 512):  # bounds what a task holds
+                part = b.slice(at, 512)
+                take, rows, owner, no, starts, ends, stream, size = [], [], [], [], [], [], [], 0
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    if text:
-                        for k, line in enumerate(text.replace("\r\n", "\n").split("\n")):
-                            if len(line) >= min_chars and len(s := normal_form(line)) >= min_chars:
-                                row.append(i)
-                                no.append(k)
-                                norms.append(s)
-                if not norms:
+                    if not text:
+                        continue
+                    rows.append(size)
+                    take.append(i)
+                    for k, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+                        s = _plain(line)
+                        x, y = _inner(s)
+                        raw = s.encode()
+                        if y - x >= min_chars:
+                            lead = len(s[:x].encode())
+                            owner.append(len(rows) - 1)
+                            no.append(k)
+                            starts.append(size + lead)
+                            ends.append(size + lead + len(s[x:y].encode()))
+                        stream.append(raw)
+                        size += len(raw) + 1
+                if not owner:
                     continue
-                h1, h2, chunks, owner = fingerprints(norms)
-                offsets = np.searchsorted(owner, np.arange(len(norms) + 1)).astype(np.int32)
-                take = pa.array(row)
+                data = np.frombuffer(b" ".join(stream) + b" ", dtype=np.uint8)
+                row, chunk, *hashes = fingerprints(data, *(np.asarray(v, dtype=np.int64) for v in (rows, starts, ends)))
+                rows_at = lambda x: pa.array(np.searchsorted(x, np.arange(len(rows) + 1)).astype(np.int32))
+                lines = pa.StructArray.from_arrays([pa.array(no, pa.int32()), *map(pa.array, hashes)], fields=list(_LINE))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("chunk_id").take(take), part.column("site").take(take), part.column("doc").take(take), pa.array(no, pa.int32()), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(chunks))],
-                    ["chunk_id", "site", "doc", "line_no", "h1", "h2", "segments"],
+                    [*(part.column(c).take(pa.array(take)) for c in ("chunk_id", "site", "doc")), pa.ListArray.from_arrays(rows_at(row), pa.array(chunk)), pa.ListArray.from_arrays(rows_at(np.asarray(owner)), lines)],
+                    ["chunk_id", "site", "doc", "segments", "lines"],
                 )
 
     return run
 
 
 def line_table(chunks: DataFrame, id_col: str = "chunk_id", site_col: str = "project", doc_col: str = "source_path", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line that can count: its place, its line hash and its chunk hashes. Site and document are 64-bit hashes."""
+    """One row per text with a line that can count: the hashes of its chunks, and its lines with their hashes and probes. Site and document are 64-bit hashes."""
     hashed = lambda c: F.xxhash64(F.coalesce(F.col(c), F.lit("")))
     src = chunks.select(F.col(id_col).cast("long").alias("chunk_id"), hashed(site_col).alias("site"), hashed(doc_col).alias("doc"), F.col("text").alias("text"))
-    return src.mapInArrow(_lines(min_chars), "chunk_id long, site long, doc long, line_no int, h1 long, h2 long, segments array<long>")
+    return src.mapInArrow(_lines(min_chars), "chunk_id long, site long, doc long, segments array<long>, lines array<struct<line_no:int,h1:long,h2:long,probe:long>>")
 
 
 def repeated_lines(chunks: DataFrame, min_docs: int = 5, **cols) -> DataFrame:
     """(chunk_id, line_no) of every line whose normal form lies in at least ``min_docs`` documents of its source."""
-    lines = materialize(line_table(chunks, **cols), "site-lines")
+    texts = materialize(line_table(chunks, **cols), "site-lines")
     frequent = lambda df, *keys: df.groupBy("site", *keys, "doc").agg(F.lit(1).alias("one")).groupBy("site", *keys).agg(F.count("one").alias("docs")).filter(F.col("docs") >= min_docs).drop("docs")
-    segments = frequent(lines.select("site", "doc", F.explode("segments").alias("segment")), "segment")
-    probe = F.element_at("segments", F.ceil(F.size("segments") / 2).cast("int"))
-    candidates = lines.withColumn("segment", probe).join(segments, ["site", "segment"], "left_semi").select("chunk_id", "line_no", "site", "doc", "h1", "h2")
+    repeated = frequent(texts.select("site", "doc", F.explode(F.array_distinct("segments")).alias("probe")), "probe")
+    lines = texts.select("chunk_id", "site", "doc", F.explode("lines").alias("l")).select("chunk_id", "site", "doc", "l.*")
+    candidates = lines.filter("probe <> 0").join(repeated, ["site", "probe"], "left_semi").select(lines.columns).unionByName(lines.filter("probe = 0"))
     exact = frequent(candidates.select("site", "h1", "h2", "doc"), "h1", "h2")
     return candidates.join(exact, ["site", "h1", "h2"], "left_semi").select("chunk_id", "line_no")
 

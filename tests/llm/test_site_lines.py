@@ -59,3 +59,20 @@ def test_copies_of_one_document_do_not_count(spark):
 def test_normal_form():
     assert normal_form("  *** Page 12 of  345! ***") == "page 0 of 0"
     assert normal_form("---") == ""
+
+
+def test_the_first_whole_chunk_follows_from_the_line():
+    import numpy as np
+
+    from quillspark.llm import site_lines as sl
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abc é") for _ in range(n))
+    for line in ["a" * 80, "ab" * 50, *(word(90).strip("  ") + "é" for _ in range(200))]:
+        raw, probes = line.encode(), set()
+        for _ in range(6):
+            before, after = word(r.randint(0, 70)).encode(), word(r.randint(0, 70)).encode()
+            data = np.frombuffer(before + raw + after, dtype=np.uint8)
+            rows = np.array([0]) if r.random() < 0.5 or not before else np.array([0, len(before)])
+            probes.add(int(sl.fingerprints(data, rows, np.array([len(before)]), np.array([len(before) + len(raw)]))[4][0]))
+        assert len(raw) < sl.ENOUGH or len(probes) == 1 and 0 not in probes, line
