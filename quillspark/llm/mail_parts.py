@@ -305,27 +305,33 @@ def features(body: str, sender: str | None, stats: dict[int, tuple[float, float,
     return bl, x, label
 
 
-def _with_statistics(emails: DataFrame) -> DataFrame:
+def _feature_table(emails: DataFrame) -> DataFrame:
+    """(email_id, lines, x, y): of each mail's blocks the line numbers, the features and the plain labels, written once."""
     s = _block_statistics(emails).groupBy("email_id").agg(F.collect_list(F.struct("block", "ancestor", "sender_share", "threads")).alias("stats"))
-    return materialize(emails.select(F.col("email_id").cast("long").alias("email_id"), "sender", "body").join(s, "email_id"), "mail-features")
+    mails = emails.select(F.col("email_id").cast("long").alias("email_id"), "sender", "body").join(s, "email_id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, xs, ys = [], [], []
+            for sender, body, stats in zip(*(b.column(c).to_pylist() for c in ("sender", "body", "stats"))):
+                bl, x, y = features(body or "", sender, {s["block"]: (s["ancestor"], s["sender_share"], s["threads"]) for s in stats})
+                lines.append([block["lines"] for block in bl])
+                xs.append(x.ravel())
+                ys.append(y)
+            flat = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
+            yield pa.RecordBatch.from_arrays([b.column("email_id"), pa.array(lines, pa.list_(pa.list_(pa.int32()))), flat(xs, pa.float64()), flat(ys, pa.int32())], ["email_id", "lines", "x", "y"])
 
-def _rows(b: pa.RecordBatch):
-    for e, sender, body, stats in zip(*(b.column(c).to_pylist() for c in ("email_id", "sender", "body", "stats"))):
-        yield e, features(body or "", sender, {s["block"]: (s["ancestor"], s["sender_share"], s["threads"]) for s in stats})
+    return materialize(mails.mapInArrow(run, "email_id long, lines array<array<int>>, x array<double>, y array<int>"), "mail-features")
 
 
 def _train(table: DataFrame) -> Boosted:
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(x[i], y[i]) for _, (_, x, y) in _rows(b) for i in np.flatnonzero(y >= 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([list(a) for a, _ in got], pa.list_(pa.float64())), pa.array([int(v) for _, v in got], pa.int32())], ["x", "y"])
-
     # whole mails by a hash: about five blocks each, so this share of them holds the sample; the limit only bounds the excess
     n = max(1, table.count())
     share = F.pmod(F.xxhash64("email_id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / 5 / n)))
-    some = table.filter(share).mapInArrow(sample, "x array<double>, y int").limit(SAMPLE).collect()
-    x, y = np.array([r.x for r in some]).reshape(-1, len(FEATURES)), np.array([r.y for r in some], dtype=float)
+    mails = table.filter(share).select("x", "y").limit(SAMPLE).collect()
+    x = np.concatenate([np.reshape(r.x, (-1, len(FEATURES))) for r in mails]) if mails else np.empty((0, len(FEATURES)))
+    y = np.concatenate([np.asarray(r.y, dtype=float) for r in mails]) if mails else np.empty(0)
+    x, y = x[y >= 0][:SAMPLE], y[y >= 0][:SAMPLE]
     if len(set(y)) < 2:  # nothing to learn from: what is marked as quoted decides
         x = np.vstack([x, np.zeros((1, len(FEATURES))), np.eye(1, len(FEATURES))])
         y = np.append(y, [0.0, 1.0])
@@ -334,20 +340,19 @@ def _train(table: DataFrame) -> Boosted:
 
 def not_new_lines(emails: DataFrame) -> DataFrame:
     """(email_id, line_no) of every non-blank line that isn't newly written."""
-    table = _with_statistics(emails)
+    table = _feature_table(emails)
     model = _train(table)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, nos = [], []
-            parts = list(_rows(b))
-            p = model.score(np.concatenate([x for _, (_, x, _) in parts])) if parts else []
-            k = 0
-            for e, (bl, x, _) in parts:
-                for block in bl:
-                    if p[k] > 0.5:
-                        ids += [e] * len(block["lines"])
-                        nos += block["lines"]
+            x = np.asarray(b.column("x").flatten()).reshape(-1, len(FEATURES))
+            gone = (model.score(x) > 0.5) if len(x) else np.empty(0, dtype=bool)
+            ids, nos, k = [], [], 0
+            for e, blocks_ in zip(b.column("email_id").to_pylist(), b.column("lines").to_pylist()):
+                for lines in blocks_:
+                    if gone[k]:
+                        ids += [e] * len(lines)
+                        nos += lines
                     k += 1
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], ["email_id", "line_no"])
 
