@@ -200,7 +200,8 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, is_base: np.ndarray, is_q
         out.append((ids[a[keep]], ids[b[keep]], cos[keep]))
 
     close = (one != other) & (np.einsum("ij,ij->i", x[one], x[other]) >= least - 1e-4)
-    pairs = np.unique(np.stack([np.minimum(one, other)[close], np.maximum(one, other)[close]], axis=1), axis=0)
+    pairs = np.unique(np.minimum(one, other)[close].astype(np.int64) * len(base) + np.maximum(one, other)[close])
+    pairs = np.stack([pairs // len(base), pairs % len(base)], axis=1)
     queries = np.flatnonzero(is_query)
     if _finds(x, graph, entry, pairs, k, least):
         for i in range(0, len(pairs), 1 << 18):
