@@ -124,16 +124,19 @@ def chunk_documents(docs: DataFrame, most: int = MAX_CHARS, overlap: int = OVERL
 def reassembled(parts: Column, title: Column) -> Column:
     """Markdown of ordered ARRAY<STRUCT<heading_path, text>>: the title once, a heading where it changes, and the texts."""
     blank = F.lit("")
+    # the pieces are listed and joined once at the end, so that no text is copied for each piece after it
     step = lambda acc, x: F.struct(
         F.concat(
             acc["md"],
-            F.when((x["heading_path"] != "") & ~x["heading_path"].eqNullSafe(acc["last"]) & ~x["heading_path"].eqNullSafe(title), F.concat(F.lit("## "), x["heading_path"], F.lit("\n\n"))).otherwise(blank),
-            F.when(x["text"] != "", F.concat(F.regexp_replace(x["text"], r"\s+$", ""), F.lit("\n\n"))).otherwise(blank),
+            F.array(
+                F.when((x["heading_path"] != "") & ~x["heading_path"].eqNullSafe(acc["last"]) & ~x["heading_path"].eqNullSafe(title), F.concat(F.lit("## "), x["heading_path"], F.lit("\n\n"))).otherwise(blank),
+                F.when(x["text"] != "", F.concat(F.regexp_replace(x["text"], r"\s+$", ""), F.lit("\n\n"))).otherwise(blank),
+            ),
         ).alias("md"),
         F.when(x["heading_path"] != "", x["heading_path"]).otherwise(acc["last"]).alias("last"),
     )
-    start = F.struct(F.when(title.isNotNull() & (title != ""), F.concat(F.lit("# "), title, F.lit("\n\n"))).otherwise(blank).alias("md"), F.lit(None).cast("string").alias("last"))
-    return F.concat(F.regexp_replace(F.aggregate(parts, start, step)["md"], r"\s+$", ""), F.lit("\n"))
+    start = F.struct(F.array(F.when(title.isNotNull() & (title != ""), F.concat(F.lit("# "), title, F.lit("\n\n"))).otherwise(blank)).alias("md"), F.lit(None).cast("string").alias("last"))
+    return F.concat(F.regexp_replace(F.array_join(F.aggregate(parts, start, step)["md"], ""), r"\s+$", ""), F.lit("\n"))
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
