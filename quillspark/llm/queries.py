@@ -78,12 +78,12 @@ def p8_shares(spark, d):
 
 
 def p8_filled(spark, d):
-    """As many tokens as all sources hold: the exponent is the least at which no source's repetition limit is broken."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=1.0)
+    """Half as many tokens as all sources with a target hold: the exponent is the least at which no source's repetition limit is broken."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=0.5)
 
 
 def p8_filled_shares(spark, d):
-    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=1.0)
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=0.5)
 
 
 def p8_leaning_shares(spark, d):
