@@ -9,8 +9,9 @@ lines' own vocabulary and of the penalties of its repairs. Paragraphs are the ch
 dynamic programming over line gaps, line lengths and sentence ends.
 
 Scale: the vocabulary is a table. Candidate repairs are made once per distinct word, looked up by joins, and travel to the lines they
-occur in; a task decodes one line. Only letter-trigram counts, whose number
-the alphabet bounds (TRIGRAMS), reach the driver. Windows run within a page; what crosses a page is a join.
+occur in; a task decodes one line. The confusions of a word over SHORT signs aren't spelled out, as their number times their length grows with the square of the word's:
+they are tried as hashes against the words of the same form (FORM), which every confusion leaves as it is. Fused words come from the neighbours that are
+read and from the words frequent enough to be fused unread. All letter counts that a confusion can touch reach the driver; the alphabet bounds their number. Windows run within a page; what crosses a page is a join.
 
 Defined results: null and empty texts are no case and have no words. A page scanned twice is two copies, each with its own lines.
 A null size is neither small nor large. Lines of a null path form one file.
@@ -18,8 +19,10 @@ A null size is neither small nor large. Lines of a null path form one file.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,8 @@ from quillspark.session import materialize
 SMALL, RECURS = 0.93, 0.34
 #: Penalties (natural logarithms) of a confusion, of fused words and of a split word; lead of letters needed without the vocabulary.
 CONFUSED, FUSED, SPLIT, LETTERS = 5.0, 5.0, 4.5, 8.0
-TRIGRAMS = 200_000
+#: Words up to this length have all their confusions spelled out; the confusions of longer ones are tried as hashes.
+SHORT = 40
 #: At most this share of a word's readings is one certain misreading of it.
 MISREAD = 0.04
 MARKS = r"\-‐¬­"  # for character classes: hyphens, the not sign, the soft hyphen
@@ -43,9 +47,15 @@ CONFUSIONS = (
     ("a", "@"), ("l", "|"), ("l", "1"), ("i", "1"), ("o", "0"), ("e", "c"), ("s", "5"), ("g", "9"), ("b", "6"), ("b", "8"), ("h", "b"), ("t", "f"), ("n", "ri"), ("m", "rn"), ("d", "cl"), ("w", "vv"),
     ("u", "ii"), ("i", "ï"), ("i", "î"), ("i", "l"), ("l", "i"), ("c", "e"), ("f", "t"), ("b", "h"), ("rn", "m"), ("cl", "d"), ("n", "u"), ("u", "n"), ("q", "g"), ("z", "2"),
 )
+NOISE = CONFUSIONS[:18]  # kinds that leave signs or letters seldom printed
+#: Signs by what stands for their kind: what was printed and what was read have the same form.
+FORM = {"@": "a", "c": "e", "0": "o", "5": "s", "9": "g", "q": "g", "6": "b", "8": "b", "h": "b", "f": "t", "2": "z", "|": "l", "1": "l", "i": "l", "ï": "l", "î": "l", "r": "l", "n": "ll", "u": "ll", "m": "lll", "d": "el", "w": "vv"}
+_CONFUSED_SIGNS = "[" + "".join(sorted({re.escape(c) for pair in CONFUSIONS for side in pair for c in side})) + "]"
+_PRIME, _RADIX = (1 << 61) - 1, 1_140_071_481_932_319_848
 _SURE = re.compile(r"[^\W\d_][|·°~^@][^\W_]|[^\W\d_]?[|·°~^@][^\W\d_]|[^\W\d_][|·°~^@](?:\W|$)")
 _GLUED = re.compile(r"[^\W\d_]{2}[,;.!?][^\W\d_]{2}(?!\.)")
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]\s){2,}[^\W_](?=[\s.,;:!?]|$)")
+_OPEN = re.compile(rf"([^\s{MARKS}]*(?:-[^\s{MARKS}]+)*?[^\W\d_])([{MARKS}])\s*$")
 _TOKEN = re.compile(rf"[^\s{MARKS}_/()\[\]\"“”„«».,:;!?…]+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _PAGE_NO = r"(?i)^\W*(?:(?:page|seite|página|pagina|p\.|s\.)\s*)?(?:[\dlIoO|]{1,5}|[ivxlc]{1,7})(?:\s*(?:/|of|von|de|sur)\s*[\dlIoO|]{1,5})?\W*$"
@@ -55,7 +65,7 @@ def _lines(pdf_lines: DataFrame) -> DataFrame:
     """The lines with ``copy``, ``furniture`` and, for text lines, the text before and after."""
     d = pdf_lines.select("line_id", F.coalesce("source_path", F.lit("")).alias("source_path"), "page_no", "line_no", F.coalesce("text", F.lit("")).alias("text"), "font_size", "bold", "baseline")
     d = d.withColumn("copy", F.row_number().over(Window.partitionBy("source_path", "page_no", "line_no").orderBy("line_id")))
-    body = d.groupBy("source_path").agg(F.percentile_approx("font_size", 0.5).alias("body"), F.countDistinct("page_no").alias("pages"))
+    body = d.groupBy("source_path").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY font_size)").alias("body"), F.countDistinct("page_no").alias("pages"))
     edge = d.groupBy("source_path", "page_no").agg(F.min("line_no").alias("_first"), F.max("line_no").alias("_last"))
     d = d.join(body, "source_path").join(edge, ["source_path", "page_no"])
     d = d.withColumn("small", F.coalesce(F.col("font_size") < SMALL * F.col("body"), F.lit(False)))
@@ -70,14 +80,14 @@ def _lines(pdf_lines: DataFrame) -> DataFrame:
     no_size = F.col("font_size").isNull() & F.col("place").isNotNull()
     usual = (F.coalesce("small_pages", F.lit(0)) >= 0.5 * F.col("pages")) & F.col("small_here").isNull() & outermost & (F.size(F.split(F.trim("text"), r"\s+")) <= 8) & ~F.col("text").rlike(r"[,;.\-¬­]") & ~F.coalesce("bold", F.lit(False))
     repeats = (F.coalesce("form_pages", F.lit(0)) >= F.greatest(F.lit(3), RECURS * F.col("pages"))) & outermost
-    d = d.withColumn("furniture", (F.trim("text") != "") & (F.col("small") | (no_size & (F.col("text").rlike(_PAGE_NO) | usual | repeats))))
+    keep = ["line_id", "source_path", "page_no", "line_no", "copy", "text", "font_size", "bold", "baseline", "body", "furniture"]
+    d = materialize(d.withColumn("furniture", (F.trim("text") != "") & (F.col("small") | (no_size & (F.col("text").rlike(_PAGE_NO) | usual | repeats)))).select(*keep), "scan-places")  # read four times
     text = d.filter("NOT furniture")
     page = Window.partitionBy("source_path", "page_no", "copy").orderBy("line_no")
     text = text.withColumns({"_next": F.lead("text").over(page), "_next_id": F.lead("line_id").over(page), "_prev": F.lag("text").over(page), "_rank": F.row_number().over(page)})
     first = text.filter("copy = 1 AND _rank = 1").select("source_path", (F.col("page_no") - 1).alias("page_no"), F.col("text").alias("_over"), F.col("line_id").alias("_over_id"))
     last = text.filter("copy = 1 AND _next IS NULL").select("source_path", (F.col("page_no") + 1).alias("page_no"), F.col("text").alias("_under"))
     text = text.join(first, ["source_path", "page_no"], "left").join(last, ["source_path", "page_no"], "left")
-    keep = ["line_id", "source_path", "page_no", "line_no", "copy", "text", "font_size", "bold", "baseline", "body", "furniture"]
     return d.filter("furniture").select(*keep, F.lit(None).cast("string").alias("after"), F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("before")).unionByName(
         text.select(*keep, F.coalesce("_next", "_over").alias("after"), F.coalesce("_next_id", "_over_id").cast("long").alias("next_id"), F.when(F.col("_rank") > 1, F.col("_prev")).otherwise(F.col("_under")).alias("before"))
     )
@@ -85,7 +95,10 @@ def _lines(pdf_lines: DataFrame) -> DataFrame:
 
 def _open_end(text: str | None) -> re.Match | None:
     """The fragment and the mark a line ends with, where a word may be broken."""
-    return re.search(rf"([^\s{MARKS}]*(?:-[^\s{MARKS}]+)*?[^\W\d_])([{MARKS}])\s*$", text or "")
+    read = (text or "").rstrip()
+    if not re.search(rf"[{MARKS}]$", read[-1:]):
+        return None
+    return _OPEN.search(text, len(read) - len(read.rsplit(None, 1)[-1]))  # from the last word on: a search from every place of a long line is quadratic
 
 
 def parse_line(text: str, before: str | None, after: str | None) -> dict:
@@ -131,10 +144,103 @@ def confusions(word: str) -> list[tuple[str, bool]]:
             out.append(word[:at] + printed + word[at + len(read) :])
             at = word.find(read, at + 1)
     once = dict.fromkeys(out, False)
-    twice = dict.fromkeys((w.replace(read, printed, 1) for w in once for printed, read in CONFUSIONS[:18] if read in w), True)  # noise comes in clusters
+    twice = dict.fromkeys((w.replace(read, printed, 1) for w in once for printed, read in NOISE if read in w), True)  # noise comes in clusters
     return [(w, deep) for w, deep in (twice | once).items() if w != word]
 
 
+def form(word: str) -> str:
+    return "".join(FORM.get(c, c) for c in word)
+
+
+def _hash(word: str, h: int = 0) -> int:
+    for c in word:
+        h = (h * _RADIX + ord(c)) % _PRIME
+    return h
+
+
+class _Edits:
+    """A word whose copies with few changes are hashed and scored without being spelled out.
+
+    A change is (place, signs taken out, signs put in); changes are in order and don't overlap.
+    """
+
+    def __init__(self, word: str, letters: Letters):
+        self.word, self.letters = word, letters
+        self.hashes, self.powers = [0], [1]
+        for c in word:
+            self.hashes.append((self.hashes[-1] * _RADIX + ord(c)) % _PRIME)
+            self.powers.append(self.powers[-1] * _RADIX % _PRIME)
+        self.places = {read: [m.start() for m in re.finditer(f"(?={re.escape(read)})", word)] for _, read in CONFUSIONS}
+
+    def spell(self, changes: list[tuple[int, int, str]]) -> str:
+        out, at = [], 0
+        for place, taken, put in changes:
+            out += [self.word[at:place], put]
+            at = place + taken
+        return "".join(out) + self.word[at:]
+
+    def hash(self, changes: list[tuple[int, int, str]]) -> int:
+        h, at = 0, 0
+        for place, taken, put in [*changes, (len(self.word), 0, "")]:
+            h = (h * self.powers[place - at] + self.hashes[place] - self.hashes[at] * self.powers[place - at]) % _PRIME
+            h, at = _hash(put, h), place + taken
+        return h
+
+    def gain(self, changes: list[tuple[int, int, str]]) -> float:
+        """The lead of the changed word's letters: only trigrams that a change touches count."""
+        if len(changes) == 2 and changes[1][0] - changes[0][0] - changes[0][1] < 2:
+            (a, k, put), (b, m, put2) = changes
+            changes = [(a, b + m - a, put + self.word[a + k : b] + put2)]
+        gain = 0.0
+        for place, taken, put in changes:
+            left, right = ("^^" + self.word[max(0, place - 2) : place])[-2:], (self.word[place + taken : place + taken + 2] + "$")[:2]
+            gain += self.letters.sum(left + put + right) - self.letters.sum(left + self.word[place : place + taken] + right)
+        return gain
+
+    def first(self, read: str, printed: str, place: int = 0, taken: int = 0, put: str = "") -> list[tuple[int, int, str]] | None:
+        """The changes where, after one change, the first ``read`` becomes ``printed``."""
+        w, at = self.word, self.places[read]
+        if at and at[0] + len(read) <= place:
+            return [(at[0], len(read), printed), (place, taken, put)]
+        lo = max(0, place - len(read) + 1)
+        near = w[lo:place] + put + w[place + taken : place + taken + len(read) - 1]
+        i = near.find(read)
+        if i >= 0:  # in what was put in, or partly
+            end = max(place - lo + len(put), i + len(read))
+            lo2 = min(i, place - lo)
+            return [(lo + lo2, place - lo - lo2 + taken + end - (place - lo) - len(put), near[lo2:i] + printed + near[i + len(read) : end])]
+        k = bisect_left(at, place + taken)
+        return [(place, taken, put), (at[k], len(read), printed)] if k < len(at) else None
+
+
+def long_confusions(word: str, others: dict[int, list[str]], letters: Letters) -> tuple[dict[str, tuple[float, bool]], tuple[float, str] | None]:
+    """Of the readings that ``confusions`` gives for a word: those among ``others`` (by hash) as {reading: (lead, second)}, and the best by its letters of the rest."""
+    hits: dict[str, tuple[float, bool]] = {}
+    best, best_of = -math.inf, None
+    own = _Edits(word, letters)
+    single = [(at, len(read), printed) for printed, read in CONFUSIONS for at in own.places[read]]
+    whole = [_Edits(word.replace(read, printed), letters) for printed, read in CONFUSIONS if len(own.places[read]) > 1]  # all of one kind
+    lead_of = {id(x): letters.score(x.word) - letters.score(word) for x in whole} | {id(own): 0.0}
+
+    def tried() -> Iterator[tuple[_Edits, list, bool]]:
+        yield from ((own, [c], False) for c in single)
+        yield from ((x, [], False) for x in whole)
+        for printed, read in NOISE:
+            yield from ((own, changes, True) for c in single if (changes := own.first(read, printed, *c)))
+            yield from ((x, [(x.places[read][0], len(read), printed)], True) for x in whole if x.places[read])
+
+    for base, changes, deep in tried():
+        h = base.hash(changes)
+        if h == own.hashes[-1]:
+            continue
+        lead = lead_of[id(base)] + base.gain(changes)
+        if h in others and (v := base.spell(changes)) in others[h]:
+            hits.setdefault(v, (lead, deep))
+        elif lead > best:
+            best, best_of = lead, (base, changes)
+    return hits, best_of and (best, best_of[0].spell(best_of[1]))
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [parse_line(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "before", "after")))]
@@ -146,16 +252,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Letters:
-    """Letter-trigram log probabilities of the vocabulary's word types."""
+    """Letter-trigram log probabilities of the vocabulary's word types, from counts of trigrams and of their first two signs."""
 
     def __init__(self, counts: dict[str, float]):
-        self.tri = counts
-        self.bi: dict[str, float] = {}
-        for k, v in counts.items():
-            self.bi[k[:2]] = self.bi.get(k[:2], 0.0) + v
+        self.tri = self.bi = counts
 
     def score(self, word: str) -> float:
-        s = f"^^{word}$"
+        return self.sum(f"^^{word}$")
+
+    def sum(self, s: str) -> float:
         return sum(math.log((self.tri.get(s[i : i + 3], 0.0) + 0.01) / (self.bi.get(s[i : i + 2], 0.0) + 0.4)) for i in range(len(s) - 2))
 
 
@@ -172,7 +277,9 @@ def _letters(vocabulary: DataFrame) -> Letters:
     padded = F.concat(F.lit("^^"), "word", F.lit("$"))
     known = vocabulary.filter("n > 1 AND length(word) > 2")
     tri = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    return Letters({r.t: float(r.n) for r in tri.orderBy(F.desc("n"), "t").limit(TRIGRAMS).collect()})
+    # trigrams without a sign of a confusion are the same in a word and in what it may have been
+    counts = tri.select("n", F.explode(F.array("t", F.substr("t", F.lit(1), F.lit(2)))).alias("t")).filter((F.length("t") < 3) | F.col("t").rlike(_CONFUSED_SIGNS)).groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    return Letters({t: float(n) for t, n in zip(counts["t"].to_pylist(), counts["n"].to_pylist())})
 
 
 def _candidates(letters: Letters):
@@ -182,7 +289,7 @@ def _candidates(letters: Letters):
         for b in batches:
             word, n, other, lead, deep = [], [], [], [], []
             for w, k in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
-                if len(w) < 2 or len(w) > 40:
+                if len(w) < 2 or len(w) > SHORT:
                     continue
                 own = letters.score(w)
                 for v, twice in confusions(w):
@@ -196,6 +303,37 @@ def _candidates(letters: Letters):
     return run
 
 
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        forms = [form(w) for w in b.column("word").to_pylist()]
+        keep = [i for i, f in enumerate(forms) if len(f) > SHORT]
+        kept = b.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(forms[i].encode("utf-8", "surrogatepass")).hexdigest() for i in keep], pa.string()), kept.column("word"), kept.column("n"), kept.column("read")], ["form", "word", "n", "read"])
+
+
+def _long_candidates(letters: Letters):
+    """For the words over SHORT of one form: those of the vocabulary they may have been, and the best of what else they may have been."""
+
+    def run(t: pa.Table) -> pa.Table:
+        words, counts = t["word"].to_pylist(), t["n"].to_pylist()
+        of = dict(zip(words, counts))
+        others: dict[int, list[str]] = {}
+        for w, known in zip(words, t["read"].to_pylist()):
+            if known:
+                others.setdefault(_hash(w), []).append(w)
+        rows = []
+        for w, n in zip(words, counts):
+            if len(w) > SHORT:
+                hits, best = long_confusions(w, others, letters)
+                rows += [(w, n, v, lead, deep, of[v]) for v, (lead, deep) in hits.items()]
+                if best and n == 1 and best[0] > LETTERS:
+                    rows.append((w, n, best[1], best[0], False, None))
+        kinds = (("word", pa.string()), ("n", pa.int64()), ("other", pa.string()), ("lead", pa.float64()), ("deep", pa.bool_()), ("other_n", pa.int64()))
+        return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds)})
+
+    return run
+
+
 def _repairs(parsed: DataFrame, vocabulary: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, fix, fix_n, split, split_cost) of doubtful words, and (a, b, merged_n) of neighbours that may be one word.
 
@@ -204,26 +342,36 @@ def _repairs(parsed: DataFrame, vocabulary: DataFrame, joined: DataFrame) -> tup
     letters = _letters(vocabulary)
     total = F.lit(float(max(1, vocabulary.agg(F.sum("n")).first()[0] or 1)))
     unseen = joined.select("word").distinct().join(vocabulary, "word", "left_anti").withColumn("n", F.lit(1).cast("long"))
-    cand = vocabulary.unionByName(unseen).mapInArrow(_candidates(letters), "word string, n long, other string, lead double, deep boolean")
-    seen = cand.join(vocabulary.toDF("other", "other_n"), "other", "left")
+    words = vocabulary.unionByName(unseen)
+    cand = words.mapInArrow(_candidates(letters), "word string, n long, other string, lead double, deep boolean")
+    of_form = vocabulary.withColumn("read", F.lit(True)).unionByName(unseen.withColumn("read", F.lit(False))).filter(F.length("word") * max(map(len, FORM.values())) > SHORT)
+    long = of_form.mapInArrow(_forms, "form string, word string, n long, read boolean").groupBy("form").applyInArrow(_long_candidates(letters), "word string, n long, other string, lead double, deep boolean, other_n long")
+    seen = cand.join(vocabulary.toDF("other", "other_n"), "other", "left").unionByName(long)
     # a reading is an error of a word that is much more frequent, or of one whose letters are far more usual
     frequent = (F.col("other_n") >= 2) & ((F.col("n") == 1) | ((F.col("n") == 2) & (F.col("other_n") >= 8)) | (F.col("n") <= F.when(F.col("deep"), MISREAD**2).otherwise(MISREAD) * F.col("other_n")))
     unusual = F.col("other_n").isNull() & (F.col("n") == 1) & (F.col("lead") > LETTERS) & (F.length("word") >= 5)
-    fixes = seen.filter(frequent | unusual).groupBy("word").agg(F.max_by("other", F.coalesce("other_n", F.lit(0)) + F.col("lead") / 1e6).alias("fix"), F.max(F.coalesce("other_n", F.lit(1))).alias("fix_n"))
+    fixes = seen.filter(frequent | unusual).groupBy("word").agg(F.max_by("other", F.struct(F.coalesce("other_n", F.lit(0)), "lead", "other")).alias("fix"), F.max(F.coalesce("other_n", F.lit(1))).alias("fix_n"))
 
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.get("words", i - 1).alias("a"), F.get("words", i).alias("b"))))
     bigrams = parsed.filter("size(words) > 1").select("copy", pair.alias("p")).filter("p.a <> '' AND p.b <> ''").groupBy("p.a", "p.b").agg(_places().alias("pair_n"))
-    cut = F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 2), lambda i: F.struct(F.substr("word", F.lit(1), i).alias("a"), F.substr("word", i + 1, F.length("word")).alias("b"))))
-    rare = vocabulary.filter("length(word) BETWEEN 5 AND 60").select("word", "n", cut.alias("p")).select("word", "n", "p.a", "p.b")
     va, vb = vocabulary.toDF("a", "a_n"), vocabulary.toDF("b", "b_n")
-    cuts = rare.join(va, "a").join(vb, "b").join(bigrams, ["a", "b"], "left")
+    whole = materialize(bigrams.withColumn("word", F.concat("a", "b")).join(vocabulary, "word").join(va, "a").join(vb, "b"), "scan-whole")
     few = lambda of: (F.col("n") <= 3) | (F.col("n") <= MISREAD / 2 * of)  # noqa: E731  fused words are rare beside the words side by side
-    plain = F.col("pair_n").isNotNull() & few(F.col("pair_n")) & (F.least("a_n", "b_n") > F.col("n")) & (F.greatest("a_n", "b_n") >= 5)
-    small_word = few(F.least("a_n", "b_n") * MISREAD) & (F.greatest("a_n", "b_n") >= total * 0.0015) & (F.least("a_n", "b_n") >= 2) & (F.least("a_n", "b_n") > F.col("n")) & (F.length("a") >= 3) & (F.length("b") >= 3) & (F.length("word") >= 7)
-    splits = cuts.filter(plain | small_word).groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.log("a_n") + F.log("b_n")).alias("split"), F.min(2 * F.log(total) - F.log("a_n") - F.log("b_n")).alias("split_cost"))
+    rarer = (F.least("a_n", "b_n") > F.col("n")) & (F.length("a") >= 2) & (F.length("b") >= 2) & (F.length("word") >= 5)
+    plain = whole.filter(few(F.col("pair_n")) & rarer & (F.greatest("a_n", "b_n") >= 5)).select("word", "a", "b", "a_n", "b_n")
+    # unread side by side: one of them is among the most frequent words, which are at most 1 / 0.0015
+    usual = vocabulary.filter((F.col("n") >= total * 0.0015) & (F.length("word") >= 3))
+    longer = vocabulary.filter("length(word) >= 7")
+    first, last = usual.toDF("a", "a_n"), usual.toDF("b", "b_n")
+    starts = longer.join(first, (F.substr("word", F.lit(1), F.lit(3)) == F.substr("a", F.lit(1), F.lit(3))) & F.startswith("word", "a")).withColumn("b", F.substr("word", F.length("a") + 1, F.length("word"))).join(vb, "b")
+    closes = longer.join(last, (F.right("word", F.lit(3)) == F.right("b", F.lit(3))) & F.endswith("word", "b")).withColumn("a", F.substr("word", F.lit(1), F.length("word") - F.length("b"))).join(va, "a")
+    small_word = few(F.least("a_n", "b_n") * MISREAD) & (F.least("a_n", "b_n") >= 2) & rarer & (F.length("a") >= 3) & (F.length("b") >= 3)
+    cuts = plain.unionByName(starts.unionByName(closes).filter(small_word).select("word", "a", "b", "a_n", "b_n"))
+    likely = F.log("a_n") + F.log("b_n")
+    splits = cuts.groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.struct(likely, "a")).alias("split"), F.min(2 * F.log(total) - likely).alias("split_cost"))
     doubtful = fixes.join(splits, "word", "full_outer")
     # the merged word must be likelier than its halves side by side by more than the penalty
-    whole = bigrams.withColumn("word", F.concat("a", "b")).join(vocabulary.toDF("word", "merged_n"), "word").join(va, "a").join(vb, "b")
+    whole = whole.withColumnRenamed("n", "merged_n")
     gain = F.log("merged_n") + F.log(total) - F.log("a_n") - F.log("b_n")
     merges = whole.filter((gain > SPLIT) & (F.col("merged_n") > F.col("pair_n")) & (F.col("merged_n") > F.least("a_n", "b_n")) & (F.length("word") >= 4)).select("a", "b", "merged_n")
     return doubtful, merges

@@ -93,3 +93,58 @@ def test_paragraph_cuts():
 def test_empty(spark):
     d = spark.createDataFrame([], SCHEMA)
     assert sc.defects(d).count() == 0 and sc.paragraphs(d).count() == 0
+
+
+def test_confusions_of_long_words_are_those_spelled_out():
+    assert all(sc.form(printed) == sc.form(read) for printed, read in sc.CONFUSIONS)
+    r = random.Random(4)
+    tri = {}
+    for w in SENTENCE:
+        for i in range(len(w)):
+            for k in (f"^^{w}$"[i : i + 3], f"^^{w}$"[i : i + 2]):
+                tri[k] = tri.get(k, 0.0) + 1
+    letters = sc.Letters(tri)
+    for _ in range(300):
+        w = "".join(r.choice(("r", "i", "n", "c", "l", "v", "u", "1", "e", "x", "m")) for _ in range(r.randint(1, 12)))
+        all_of = dict(sc.confusions(w))
+        known = r.sample(sorted(all_of), len(all_of) // 3) + [w, "other"]
+        others = {}
+        for v in known:
+            others.setdefault(sc._hash(v), []).append(v)
+        hits, best = sc.long_confusions(w, others, letters)
+        assert {v: deep for v, (_, deep) in hits.items()} == {v: all_of[v] for v in known if v in all_of}
+        lead = lambda v: letters.score(v) - letters.score(w)
+        assert all(abs(x - lead(v)) < 1e-9 for v, (x, _) in hits.items())
+        rest = [lead(v) for v in all_of if v not in known]
+        assert (best is None) == (not rest) and (not rest or abs(best[0] - max(rest)) < 1e-9 and best[1] in all_of)
+        assert all(sc.form(v) == sc.form(w) for v in all_of)
+
+
+def lines_of(spark, texts):
+    return spark.createDataFrame([(i, f"/l{i // 40}.pdf", "p", i // 20 % 2 + 1, i % 20, t, 10.0, False, 3, 790.0 - 14 * (i % 20)) for i, t in enumerate(texts)], SCHEMA)
+
+
+def test_long_words_are_repaired_like_short_ones(spark):
+    r = random.Random(8)
+    long = "donaudampfschiffahrtselektrizitaetenhauptbetriebswerkbauunterbeamtengesellschaft"
+    huge = "".join(r.choice("abdfghklmnoprstuvw") for _ in range(6_000))
+    common = ["seven", "report", *SENTENCE]
+    texts = [" ".join(r.choices(common, k=6)) for _ in range(400)]
+    for i in range(0, 400, 20):
+        texts[i + 2] += f" {long} report"
+        texts[i + 3] += f" {huge} seven"
+    bad = {i: texts[i] for i in (5, 45, 85, 125)}
+    texts[5] += " " + long.replace("schiff", "schlff")
+    texts[45] += f" {long}report"
+    texts[85] += " " + huge.replace("e", "c")[:3_000] + huge[3_000:].replace("m", "rn", 1)
+    texts[125] += f" {huge}seven"
+    assert all(texts[i] != t for i, t in bad.items())
+    got = {x.line_id for x in sc.defects(lines_of(spark, texts)).filter("defect = 'ocr'").collect()}
+    assert got == set(bad)
+
+
+def test_letters_are_counted_whole(spark):
+    words = [chr(0x4E00 + i) + chr(0x4E00 + 7 * i % 5000) + chr(0x4E00 + 11 * i % 5000) for i in range(70_000)] + ["recent"]
+    letters = sc._letters(spark.createDataFrame([(w, 2 if w == "recent" else 9) for w in words], "word string, n long"))
+    # the rarest trigrams are there, those that no confusion touches are not, and the contexts of all are
+    assert letters.tri["cen"] == 1 and letters.bi["ce"] == 1 and words[9] not in letters.tri and letters.bi[words[9][:2]] >= 1
