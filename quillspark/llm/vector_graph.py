@@ -388,8 +388,9 @@ def nearest(df: DataFrame, k: int = 5, least: float = -1.0, id_col: str = "chunk
         return pa.table({"rep": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(cos, pa.float64())})
 
     found = placed.select(*group, "base", "asks", "id", "v").repartition(tasks, *group).groupBy(group).applyInArrow(search, "rep long, other long, similarity double")
-    # what one side's search found counts for the other side too, so that a pair has two chances
-    found = found.unionByName(found.select(F.col("other").alias("rep"), F.col("rep").alias("other"), "similarity")).distinct()
+    # what one side's search found counts for the other side too, so that a pair has two chances; a union would search twice
+    sides = F.array(F.struct("rep", "other"), F.struct(F.col("other").alias("rep"), F.col("rep").alias("other")))
+    found = found.select(F.explode(sides).alias("x"), "similarity").select("x.rep", "x.other", "similarity").distinct()
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
     found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
 

@@ -94,3 +94,12 @@ def test_graph_is_searchable(n):
     assert graph.shape == (n + 1, vg.DEGREE) and graph.max() <= n
     ids, sims = vg.beam_search(x, graph, entry, x, vg.BEAM)
     assert (ids[:, 0] == np.arange(n)).mean() > 0.95 and (np.diff(sims, axis=1) <= 1e-6).all()
+
+
+def test_shards_are_searched_once(spark):
+    x = clustered(300, 4)
+    d = spark.createDataFrame([(i, [float(v) for v in x[i]], "", "", "", "") for i in range(len(x))], SCHEMA)
+    near = vg.nearest(d, 5, 0.85)
+    assert near._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    want = brute(list(range(len(x))), x, 5, 0.85)
+    assert len({(r.chunk_id, r.neighbor_id) for r in near.collect()} & want) / len(want) > 0.95
